@@ -19,8 +19,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op7_packing import pack
+
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_quality import label_documents
+
+    return label_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_minhash,)}
+    return {f.__name__: f for f in (op7_packing, op8_quality, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
