@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -19,6 +20,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_lines import dedup_lines
+
+    return dedup_lines(_documents(spark, sf_dir)).drop("text")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_decontaminate import leaks
+
+    found = leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.transform("hits", lambda h: h["item_id"]).alias("item_ids"), (F.size("hits") > 0).alias("contaminated"), F.array_max(F.transform("hits", lambda h: h["similarity"])).alias("similarity"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_sharding import shard
+
+    return shard(_documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,7 +54,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing, op8_quality, op10_minhash)}
+    return {f.__name__: f for f in (op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,3 +150,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 def ragged(values: np.ndarray, offsets: np.ndarray, type_: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, type_))
+
+
+def document_shingles(words: np.ndarray, cut: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of many documents, whose words lie between ``cut``: all in one array, and its offsets."""
+    count = np.diff(cut)
+    size = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+    at = np.concatenate([[0], np.cumsum(size)])
+    doc = np.repeat(np.arange(len(count)), size)
+    out = np.zeros(at[-1], np.uint64)
+    grams = gram_hashes(words, n)
+    long_ = count[doc] >= n
+    out[long_] = grams[(cut[:-1][doc] + np.arange(at[-1]) - at[:-1][doc])[long_]] if len(grams) else 0
+    for i in np.flatnonzero((count > 0) & (count < n)).tolist():
+        out[at[i]] = shingles(words[cut[i] : cut[i + 1]], n)[0]
+    return out, at
