@@ -20,6 +20,19 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_lm_scoring import score
+
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0")
+    return score(_documents(spark, sf_dir), good)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_secrets import digest, find_secrets
+
+    return digest(find_secrets(_documents(spark, sf_dir)))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_lines import dedup_lines
 
@@ -54,7 +67,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op10_minhash)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_secrets, op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
