@@ -20,6 +20,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_suffixes import digest, remove_repeats
+
+    return digest(remove_repeats(_documents(spark, sf_dir)))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op2_lm_scoring import score
 
@@ -67,7 +73,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_secrets, op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op10_minhash)}
+    return {f.__name__: f for f in (op1_suffixes, op2_lm_scoring, op3_secrets, op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
