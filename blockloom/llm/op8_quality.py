@@ -182,54 +182,67 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fiel
     return fit(np.concatenate(each).astype(np.float32), np.array([len(x) for x in each]), quality)
 
 
+def judge(part: pa.RecordBatch, field: Field, share: float) -> dict[str, pa.Array]:
+    """All columns of ``label_documents`` for one batch (doc_id, text)."""
+    buffer = Buffer(part.column("text"))
+    data, prefix = buffer.data, buffer.prefix()
+    starts, ends = buffer.words()
+    words = span_hashes(prefix, starts, ends)
+    cut = buffer.split(starts)
+    n_words = np.diff(cut)
+    points = _sums(_STARTS[data] & ~IS_SPACE[data])
+    symbols = _sums(_IS_SYMBOL[data])
+    doc = np.repeat(np.arange(buffer.n), n_words)
+    grams = gram_hashes(words, 3)
+    inside = doc[2:] == doc[: len(grams)] if len(grams) else np.zeros(0, bool)
+    at = np.flatnonzero(inside)
+    key = grams[at] + mix(doc[at].astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    twin = np.zeros(len(held), bool)
+    same = held[1:] == held[:-1]
+    twin[1:] |= same
+    twin[:-1] |= same
+    repeated = np.zeros(len(words), bool)
+    hit = at[order[twin]]
+    for j in range(3):
+        repeated[hit + j] = True
+    repeats = _sums(repeated)
+    lines = read_lines(buffer, prefix, starts)
+    counts = _lines_of(buffer)
+    label = viterbi(field, lines.features, counts)
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    content = _sums(lines.words * label)
+    again = _sums(lines.again)
+    of = lambda total, a, b: total[b] - total[a]
+    n_repeat, n_content = of(repeats, cut[:-1], cut[1:]), of(content, edge[:-1], edge[1:])
+    failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
+    part_of = n_content / np.maximum(n_words, 1)
+    return {
+        "doc_id": part.column("doc_id").cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "word_chars": pa.array(of(points, buffer.starts, buffer.ends), pa.int64()),
+        "n_symbols": pa.array(of(symbols, buffer.starts, buffer.ends), pa.int64()), "n_dup_lines": pa.array(of(again, edge[:-1], edge[1:]), pa.int64()), "n_repeat_words": pa.array(n_repeat, pa.int64()),
+        "base_failed": pa.array(failed), "kept": pa.array(~failed & (part_of >= share)), "content_share": pa.array(part_of), "n_lines": pa.array(counts, pa.int64()),
+        "line_labels": pa.array([bytes(label[a:b] + 48).decode() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.string()),
+    }
+
+
 def _label(field: Field, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            buffer = Buffer(part.column("text"))
-            data, prefix = buffer.data, buffer.prefix()
-            starts, ends = buffer.words()
-            words = span_hashes(prefix, starts, ends)
-            cut = buffer.split(starts)
-            n_words = np.diff(cut)
-            points = _sums(_STARTS[data] & ~IS_SPACE[data])
-            symbols = _sums(_IS_SYMBOL[data])
-            doc = np.repeat(np.arange(buffer.n), n_words)
-            grams = gram_hashes(words, 3)
-            inside = doc[2:] == doc[: len(grams)] if len(grams) else np.zeros(0, bool)
-            at = np.flatnonzero(inside)
-            key = grams[at] + mix(doc[at].astype(np.uint64))
-            order = np.argsort(key, kind="stable")
-            held = key[order]
-            twin = np.zeros(len(held), bool)
-            same = held[1:] == held[:-1]
-            twin[1:] |= same
-            twin[:-1] |= same
-            repeated = np.zeros(len(words), bool)
-            hit = at[order[twin]]
-            for j in range(3):
-                repeated[hit + j] = True
-            repeats = _sums(repeated)
-            lines = read_lines(buffer, prefix, starts)
-            counts = _lines_of(buffer)
-            label = viterbi(field, lines.features, counts)
-            edge = np.concatenate([[0], np.cumsum(counts)])
-            content = _sums(lines.words * label)
-            again = _sums(lines.again)
-            of = lambda total, a, b: total[b] - total[a]
-            n_repeat, n_content = of(repeats, cut[:-1], cut[1:]), of(content, edge[:-1], edge[1:])
-            failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
-            part_of = n_content / np.maximum(n_words, 1)
-            columns = {
-                "doc_id": part.column("doc_id").cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "word_chars": pa.array(of(points, buffer.starts, buffer.ends), pa.int64()),
-                "n_symbols": pa.array(of(symbols, buffer.starts, buffer.ends), pa.int64()), "n_dup_lines": pa.array(of(again, edge[:-1], edge[1:]), pa.int64()), "n_repeat_words": pa.array(n_repeat, pa.int64()),
-                "base_failed": pa.array(failed), "kept": pa.array(~failed & (part_of >= share)), "content_share": pa.array(part_of), "n_lines": pa.array(counts, pa.int64()),
-                "line_labels": pa.array([bytes(label[a:b] + 48).decode() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.string()),
-            }
+            columns = judge(part, field, share)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
+def _stay(field: Field, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            yield part.filter(judge(part, field, share)["kept"])
+
+    return run
+
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, line_labels string"
 
 
@@ -242,3 +255,9 @@ def label_documents(documents: DataFrame, labels: DataFrame, share: float = 0.5,
     """
     field = train(documents, labels, sample)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_label(field, share), SCHEMA)
+
+
+def keep_documents(documents: DataFrame, labels: DataFrame, share: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``documents``, all columns, that ``label_documents`` keeps."""
+    field = train(documents, labels, sample)
+    return documents.mapInArrow(_stay(field, share), documents.schema)

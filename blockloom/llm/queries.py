@@ -14,6 +14,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_passages import passages
+
+    return passages(_documents(spark, sf_dir))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_minhash import near_duplicates
 
@@ -73,7 +79,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffixes, op2_lm_scoring, op3_secrets, op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op10_minhash)}
+    return {f.__name__: f for f in (op1_suffixes, op2_lm_scoring, op3_secrets, op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op9_passages, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
