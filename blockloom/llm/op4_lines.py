@@ -134,7 +134,7 @@ def _align(least: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, totals, removed, sums = [], [], [], []
-        for text, whole, blocks in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+        for text, whole, blocks in zip(batch.column("text").to_pylist(), batch.column("_copy").to_pylist(), batch.column("_blocks").to_pylist(), strict=True):
             lines = (text or "").split("\n")
             gone = np.full(len(lines), bool(whole))
             for x in blocks or []:
@@ -144,7 +144,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals.append(len(lines))
             removed.append(int(gone.sum()))
             sums.append(hashlib.sha256((kept or "").encode("utf-8", "replace")).hexdigest())
-        rest = [c for c in batch.schema.names if c not in ("text", "copy", "blocks")]
+        rest = [c for c in batch.schema.names if c not in ("text", "_copy", "_blocks")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], [*rest, "text", "n_lines", "n_removed", "kept_sha256"])
 
 
@@ -154,7 +154,8 @@ def dedup_lines(documents: DataFrame, least: int = WORDS, rare: int = RARE, colu
     The later document is that of the larger doc_id (null: last).  Rows that repeat both doc_id
     and text are one document and get the same result.  A null or empty text has one line, without
     words, and loses nothing; a text of fewer than ``least`` words is never a copy.  Blocks are
-    judged on the input, not on what other alignments leave.
+    judged on the input, not on what other alignments leave.  Input columns that are named as the
+    three added ones give way to these.
     """
     scratch = Scratch(documents.sparkSession, "lines")
     text = F.col("text").cast("string")
@@ -179,12 +180,12 @@ def dedup_lines(documents: DataFrame, least: int = WORDS, rare: int = RARE, colu
     left = classes.select(F.col("rep").alias("earlier"), F.col("lines").alias("lines_a"))
     right = classes.select(F.col("rep").alias("later"), F.col("lines").alias("lines_b"), "words")
     found = pairs.join(left, "earlier").join(right, "later").mapInArrow(_align(least), "rep long, first int, end int")
-    blocks = found.distinct().groupBy("rep").agg(F.collect_list(F.struct("first", "end")).alias("blocks"))
-    copies = read.join(classes.select("key", "first_id", "first_hash"), "key").where("not (doc_id <=> first_id and text_hash = first_hash)").select("doc_id", "text_hash", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<first:int,end:int>>").alias("blocks"))
-    cut = blocks.join(classes, "rep").select(F.col("first_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), F.lit(False).alias("copy"), "blocks")
-    actions = scratch.save(copies.union(cut).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), "copy", "blocks"), "actions")
+    blocks = found.distinct().groupBy("rep").agg(F.collect_list(F.struct("first", "end")).alias("_blocks"))
+    copies = read.join(classes.select("key", "first_id", "first_hash"), "key").where("not (doc_id <=> first_id and text_hash = first_hash)").select("doc_id", "text_hash", F.lit(True).alias("_copy"), F.lit(None).cast("array<struct<first:int,end:int>>").alias("_blocks"))
+    cut = blocks.join(classes, "rep").select(F.col("first_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), F.lit(False).alias("_copy"), "_blocks")
+    actions = scratch.save(copies.union(cut).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copy", "_blocks"), "actions")
     scratch.drop("read", "classes", "seeds", "known", "pairs")
-    rows = documents.select(*[c for c in columns if c != "text"], text.alias("text"))
-    joined = rows.withColumn("a_hash0", F.xxhash64("text")).join(actions, F.expr("cast(doc_id as long) <=> a_id and a_hash0 = a_hash"), "left").drop("a_id", "a_hash", "a_hash0")
-    ddl = joined.drop("text", "copy", "blocks")._jdf.schema().toDDL()
+    rows = documents.select(*[c for c in columns if c not in ("text", "n_lines", "n_removed", "kept_sha256")], text.alias("text"))
+    joined = rows.withColumn("_own", F.xxhash64("text")).join(actions, F.expr("cast(doc_id as long) <=> _id and _own = _hash"), "left").drop("_id", "_hash", "_own")
+    ddl = joined.drop("text", "_copy", "_blocks")._jdf.schema().toDDL()
     return joined.mapInArrow(_cut, f"{ddl}, text string, n_lines long, n_removed long, kept_sha256 string")

@@ -169,15 +169,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, least: flo
 
     A hit is an item whose weighted word shingles are similar by ``least`` or more to a stretch of
     the document; A-Z count as a-z.  Null or empty texts have no hits, and such items are in
-    nothing; items of the same text are separate.  An empty benchmark gives empty lists.
+    nothing; items of the same text are separate.  An input column named hits
+    gives way.  An empty benchmark gives empty lists.
     """
-    kept = documents.select(*[c for c in columns if c != "text"], F.col("text").cast("string").alias("text"))
+    kept = documents.select(*[c for c in columns if c not in ("text", "hits")], F.col("text").cast("string").alias("text"))
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     passes = max(1, -(-known.count() // ITEMS_AT_ONCE))
-    found = kept.withColumn("all_hits", F.expr("cast(array() as " + HITS.removeprefix("hits ") + ")"))
+    found = kept.withColumn("_hits", F.expr("cast(array() as " + HITS.removeprefix("hits ") + ")"))
     for i in range(passes):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).collect()
         ddl = found._jdf.schema().toDDL()
         found = found.mapInArrow(_scan(*_indexes(rows, words), words, least), f"{ddl}, {HITS}")
-        found = found.withColumn("all_hits", F.concat("all_hits", "hits")).drop("hits")
-    return found.withColumnRenamed("all_hits", "hits")
+        found = found.withColumn("_hits", F.concat("_hits", "hits")).drop("hits")
+    return found.withColumnRenamed("_hits", "hits")
