@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import formats, palette
 from ..operators import pixels, surfaces
 from ..session import ship
+from ..sources import dds
+from ..streaming import pool
 from . import board, residency, views
 
 FLAGSHIP = "mip_box_filter"
@@ -340,6 +342,49 @@ def log_histogram(spark, sf_dir):
     return board.histogram(_frames(spark, sf_dir), "arm", "ms")
 
 
+@_query(f"""SELECT tex, height, width, CASE WHEN tex % 2 = 0 THEN mips END AS mip_map_count, CASE WHEN tex % 3 = 0 THEN 71 + tex % 9 END AS dxgi, tex % 5 = 0 AND tex % 3 = 0 OR tex % 3 <> 0 AND tex % 4 = 0 AS is_cube,
+  CASE WHEN tex % 3 = 0 THEN 148 ELSE 128 END AS payload_offset, octet_length(encode('p' || tex))::BIGINT AS payload_bytes FROM ({views.TEX_PART})""")
+def header_parse_words(spark, sf_dir):
+    """Headers written to bytes and parsed back, half of them with a level count, a third with the second header."""
+    tex = F.col("tex")
+    payload = F.concat(F.lit("p"), tex.cast("string")).cast("binary")
+    common = {"flags": F.when(tex % 2 == 0, dds.F_MIPS).otherwise(0), "height": F.col("height"), "width": F.col("width"), "mips": F.col("mips"), "pf_flags": dds.P_FOURCC}
+    wide = dds.compose(common | {"pf_fourcc": dds.DX10}, {"dxgi": 71 + tex % 9, "dimension": 3, "misc": F.when(tex % 5 == 0, dds.M_CUBE).otherwise(0), "array_size": 1}, payload)
+    plain = dds.compose(common | {"pf_fourcc": 0x31545844, "caps2": F.when(tex % 4 == 0, dds.C_CUBE).otherwise(0)}, None, payload)
+    files = views.tex_part(spark, sf_dir).select("tex", F.when(tex % 3 == 0, wide).otherwise(plain).alias("content"))
+    length = F.octet_length("content") - F.col("payload_offset")
+    return dds.parse(files).select("tex", "height", "width", "mip_map_count", "dxgi", "is_cube", "payload_offset", length.cast("long").alias("payload_bytes"))
+
+
+def _random_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen bytes for each event, by md5 of its number."""
+    return views.table(spark, sf_dir, "events").select("event_id", F.unhex(F.md5(F.col("event_id").cast("string"))).alias("payload"))
+
+
+@_query()
+def bc7_decode(spark, sf_dir):
+    px = dds.decode(_random_blocks(spark, sf_dir).select("event_id", F.lit("bc7").alias("content"), F.lit(4).alias("width"), F.lit(4).alias("height"), "payload"))
+    return px.select("event_id", F.hex("rgba").alias("rgba"), F.crc32("rgba").alias("checksum"))
+
+
+@_query()
+def decode_all_contents(spark, sf_dir):
+    """One NPOT slice (5x3) of every content class for each event: four blocks' worth of bytes."""
+    four = F.concat(*[F.unhex(F.md5(F.concat(F.col("event_id").cast("string"), F.lit(f"-{k}")))) for k in range(4)])
+    names = F.explode(F.array(*[F.lit(n) for n, _ in formats.CONTENT]))
+    rows = views.table(spark, sf_dir, "events").select("event_id", four.alias("payload")).select("event_id", names.alias("content"), F.lit(5).alias("width"), F.lit(3).alias("height"), "payload")
+    return dds.decode(rows).select("event_id", "content", F.crc32("rgba").alias("checksum"), "decode_error")
+
+
+@_query()
+def lru_pool(spark, sf_dir):
+    """Four runs with the same requests; each run is one state machine."""
+    wanted = _requests(spark, sf_dir).withColumn("content_id", F.col("tex") % 10).join(F.broadcast(_content(spark)), "content_id")
+    sized = wanted.withColumn("bytes", residency.level_bytes(F.lit(64).cast("long"), F.col("mip"), F.col("block_bytes")))
+    runs = sized.withColumn("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).where("tex % 4 = run_id")
+    return pool.replay(runs.select("run_id", "frame", "tex", "mip", "bytes"), 1 << 18, 1 << 20).withColumn("resident_pct", F.round("resident_pct", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
