@@ -376,6 +376,31 @@ def decode_all_contents(spark, sf_dir):
     return dds.decode(rows).select("event_id", "content", F.crc32("rgba").alias("checksum"), "decode_error")
 
 
+@_query()
+def encode_psnr(spark, sf_dir):
+    """Every part's synthetic 16x16 image, encoded and decoded in each class, with its squared error."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions import blocks, encoders
+
+    def run(batches):
+        y, x = np.mgrid[:16, :16]
+        for pdf in batches:
+            rows = []
+            for key in pdf["p_partkey"]:
+                image = np.stack([(x * 16 + key) % 256, (y * 16 + key * 3) % 256, (x * y + key * 7) % 256, (200 + x + y) % 256], -1).astype(np.uint8)
+                for name in encoders.ENCODERS:
+                    data, _ = encoders.encode_surface(name, image.tobytes(), 16, 16)
+                    back = np.frombuffer(blocks.decode_surface(name, data, 16, 16)[0], np.uint8).reshape(16, 16, 4)
+                    n = {"bc1": 3, "bc4u": 1, "bc5u": 2}.get(name, 4)
+                    rows.append((key, name, len(data), int(((image[:, :, :n].astype(int) - back[:, :, :n]) ** 2).sum()), n * 256))
+            yield pd.DataFrame(rows, columns=["tex", "content", "bytes", "squared", "n"])
+
+    done = views.table(spark, sf_dir, "part").select("p_partkey").mapInPandas(run, "tex long, content string, bytes long, squared long, n long")
+    return done.withColumn("psnr", F.round(pixels.psnr(F.col("squared"), F.col("n")), 6))
+
+
 @_query()
 def lru_pool(spark, sf_dir):
     """Four runs with the same requests; each run is one state machine."""
