@@ -28,6 +28,8 @@ RADIUS = 15
 BLOCKS = 4
 #: Benchmark items handled in one pass over the documents; more take more passes.
 ITEMS_AT_ONCE = 20_000
+#: Shingles whose bit sums are held at once.
+SEGMENT = 1 << 18
 _NEAR = np.array([sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(16), k)], np.uint16)
 
 
@@ -115,6 +117,20 @@ def similarity(own: np.ndarray, item: np.ndarray, weights: Counter) -> tuple[flo
     return shared / (len(item) + last - first - shared), first, last
 
 
+def _windows(begin: np.ndarray, end: np.ndarray, index: Index, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start of each window of the index that starts from ``low`` to before ``high``, the last ones of the documents included."""
+    count = end - begin
+    slots = np.where(count > 0, np.maximum(count - index.length, 0) // index.step + 1, 0)
+    first = np.clip(-(-(low - begin) // index.step), 0, slots)
+    after = np.clip(-(-(high - begin) // index.step), 0, slots)
+    size = after - first
+    doc = np.repeat(np.arange(len(count)), size)
+    start = begin[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + first[doc]) * index.step
+    last = np.maximum(begin, end - index.length)
+    some = np.flatnonzero((count > 0) & (last >= low) & (last < high))
+    return np.concatenate([doc, some]), np.concatenate([start, last[some]])
+
+
 def _scan(indexes: list[Index], ids: list[int], item_shingles: list[np.ndarray], n: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = max((x.length for x in indexes), default=1)
@@ -122,26 +138,21 @@ def _scan(indexes: list[Index], ids: list[int], item_shingles: list[np.ndarray],
         for part in pieces(batches, limit=1 << 20):
             shingles, at = read_shingles(part.column("text"), n)
             begin, end = at[:-1], at[1:]
-            count = end - begin
-            total = _bit_sums(shingles, longest)
             best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(part.num_rows)]
-            for index in indexes:
-                slots = np.where(count > 0, np.maximum(count - index.length, 0) // index.step + 1, 0)
-                doc = np.repeat(np.arange(len(count)), slots)
-                start = begin[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(slots) - slots, slots)) * index.step
-                some = np.flatnonzero(count > 0)
-                doc = np.concatenate([doc, some])
-                start = np.concatenate([start, np.maximum(begin[some], end[some] - index.length)])
-                stop = np.minimum(start + index.length, end[doc])
-                for a in range(0, len(doc), 1 << 16):
-                    own = slice(a, a + (1 << 16))
-                    window, item = index.near(_fingerprints(total, start[own], stop[own]))
-                    for w, k in zip(window.tolist(), index.items[item].tolist(), strict=True):
-                        d, size = int(doc[a + w]), len(item_shingles[k])
-                        a1, b1 = max(int(begin[d]), int(start[a + w]) - size // 2), min(int(end[d]), int(stop[a + w]) + size // 2)
-                        same, first, last = similarity(shingles[a1:b1], item_shingles[k], weights[k])
-                        if same >= least and same > best[d].get(k, (0.0,))[0]:
-                            best[d][k] = (same, a1 - int(begin[d]) + first, a1 - int(begin[d]) + last + n - 1)
+            for low in range(0, len(shingles), SEGMENT):
+                total = _bit_sums(shingles[low : low + SEGMENT + longest], longest)
+                for index in indexes:
+                    doc, start = _windows(begin, end, index, low, low + SEGMENT)
+                    stop = np.minimum(start + index.length, end[doc])
+                    for a in range(0, len(doc), 1 << 16):
+                        own = slice(a, a + (1 << 16))
+                        window, item = index.near(_fingerprints(total, start[own] - low, stop[own] - low))
+                        for w, k in zip(window.tolist(), index.items[item].tolist(), strict=True):
+                            d, size = int(doc[a + w]), len(item_shingles[k])
+                            a1, b1 = max(int(begin[d]), int(start[a + w]) - size // 2), min(int(end[d]), int(stop[a + w]) + size // 2)
+                            same, first, last = similarity(shingles[a1:b1], item_shingles[k], weights[k])
+                            if same >= least and same > best[d].get(k, (0.0,))[0]:
+                                best[d][k] = (same, a1 - int(begin[d]) + first, a1 - int(begin[d]) + last + n - 1)
             hits = [[{"item_id": ids[k], "similarity": x[0], "first_word": x[1], "end_word": x[2]} for k, x in sorted(b.items())] for b in best]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(hits, kind)], [*part.schema.names, "hits"])
