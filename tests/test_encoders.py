@@ -44,3 +44,18 @@ def test_mips_and_errors():
     assert encoders.encode_surface("bc1", b"", 0, 4) == (None, "InvalidField")
     data, _ = encoders.encode_surface("bc1", gradient(16, 16).tobytes(), 16, 16, mips=5)
     assert len(data) == 128 + 32 + 8 + 8 + 8
+
+
+def test_bc6h():
+    from blockloom.functions import hdr
+
+    y, x = np.mgrid[:32, :32]
+    image = np.stack([2.0 ** (x / 32 * 14 - 7), 2.0 ** (y / 32 * 14 - 7), 2.0 ** ((x + y) / 64 * 14 - 7), np.ones((32, 32))], -1).astype(np.float32)
+    px = image.reshape(8, 4, 8, 4, 4).swapaxes(1, 2).reshape(-1, 16, 4)
+    back, own = blocks.decode_bc6h_single(hdr.encode_bc6h(px))
+    assert own.all() and hdr.log_psnr(px[:, :, :3], back[:, :, :3]) > 40
+    flat = np.full((1, 16, 4), 3.7, np.float32)
+    assert abs(blocks.decode_bc6h_single(hdr.encode_bc6h(flat))[0][0, 0, 0] / 3.7 - 1) < 0.02
+    assert hdr.to_half(np.array([-5.0, np.nan, 1e30, np.inf, 1.0, 2.0**-24, 2.0**-26])).tolist() == [0, 0, 0x7BFF, 0x7BFF, 0x3C00, 1, 0]
+    every = np.arange(0x7C00)
+    assert (hdr.to_half(blocks.half_to_float(every)) == every).all()
