@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from .bc7 import encode_mode6
 from .palette import W4, W6
 
 
@@ -132,7 +133,7 @@ def encode_bc2(px: np.ndarray) -> np.ndarray:
     return np.concatenate([(alpha[:, :, 0] | alpha[:, :, 1] << 4).astype(np.uint8), encode_bc1(px)], 1)
 
 
-ENCODERS = {"bc1": encode_bc1, "bc2": encode_bc2, "bc3": lambda px: np.concatenate([encode_bc4(px[:, :, 3]), encode_bc1(px)], 1), "bc4u": lambda px: encode_bc4(px[:, :, 0]), "bc5u": lambda px: np.concatenate([encode_bc4(px[:, :, 0]), encode_bc4(px[:, :, 1])], 1)}
+ENCODERS = {"bc1": encode_bc1, "bc2": encode_bc2, "bc3": lambda px: np.concatenate([encode_bc4(px[:, :, 3]), encode_bc1(px)], 1), "bc4u": lambda px: encode_bc4(px[:, :, 0]), "bc5u": lambda px: np.concatenate([encode_bc4(px[:, :, 0]), encode_bc4(px[:, :, 1])], 1), "bc7": encode_mode6}
 
 
 def to_blocks(image: np.ndarray) -> np.ndarray:

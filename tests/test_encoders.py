@@ -16,7 +16,7 @@ def psnr(a, b):
     return np.inf if mse == 0 else 10 * np.log10(65025 / mse)
 
 
-@pytest.mark.parametrize(("content", "channels", "floor"), [("bc1", 3, 18), ("bc2", 4, 18), ("bc3", 4, 18), ("bc4u", 1, 28), ("bc5u", 2, 28), ("rgba8", 4, 999), ("bgra8", 4, 999)])
+@pytest.mark.parametrize(("content", "channels", "floor"), [("bc1", 3, 18), ("bc2", 4, 18), ("bc3", 4, 18), ("bc4u", 1, 28), ("bc5u", 2, 28), ("bc7", 4, 22), ("rgba8", 4, 999), ("bgra8", 4, 999)])
 @pytest.mark.parametrize(("w", "h"), [(32, 32), (9, 7), (6, 10)])
 def test_round_trip(content, channels, floor, w, h):
     image = gradient(w, h)
@@ -40,7 +40,7 @@ def test_mips_and_errors():
     odd = np.arange(12, dtype=np.uint8).reshape(1, 3, 4)
     assert encoders.halve(odd).tolist() == [[[2, 3, 4, 5]]]
     assert encoders.encode_surface("bc1", b"", 4, 4) == (None, "TruncatedData")
-    assert encoders.encode_surface("bc7", bytes(64), 4, 4) == (None, "UnsupportedFormat")
+    assert encoders.encode_surface("bc4s", bytes(64), 4, 4) == (None, "UnsupportedFormat")
     assert encoders.encode_surface("bc1", b"", 0, 4) == (None, "InvalidField")
     data, _ = encoders.encode_surface("bc1", gradient(16, 16).tobytes(), 16, 16, mips=5)
     assert len(data) == 128 + 32 + 8 + 8 + 8
