@@ -102,7 +102,8 @@ class Model:
 def train(documents: DataFrame, target: DataFrame, scratch: Scratch) -> tuple[Model, Model]:
     """The target's and the background's model, from every document; ``target`` has the doc_id of the former's."""
     good = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # merged by sorted keys whatever the list's size, so that the step costs the same a byte everywhere
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     schema = "block long, part long, counts binary"
     level = scratch.save(rows.mapInArrow(_count, schema), "counts0")
     step = 0
