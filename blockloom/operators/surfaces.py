@@ -38,3 +38,24 @@ def upload_plan(levels: DataFrame) -> DataFrame:
     row = F.coalesce(div(F.col("mip_width") + 3, 4) * block, F.col("mip_width") * 4)
     rows = F.when(block.isNotNull(), div(F.col("mip_height") + 3, 4)).otherwise(F.col("mip_height"))
     return levels.withColumns({"bytes_per_row": row, "rows_per_image": rows, "decoded_bytes": F.col("mip_width") * F.col("mip_height") * 4, "needed": payload_bytes("mip_width", "mip_height", "block_bytes")})
+
+
+def subresources(textures: DataFrame, most: int = 4096) -> DataFrame:
+    """One row for each layer, face and level of each texture (width, height, mips, size0, least, layers, faces, payload_bytes).
+
+    ``offset`` counts whole chains before the level's own; a range past the payload's end has the
+    error TruncatedData.  A header may claim any number of layers: ``most`` slices are listed, and
+    a texture that claims more says so in ``claimed``.
+    """
+    slices = F.col("layers") * F.col("faces")
+    listed = textures.where(slices > 0).withColumns({"stride": array_stride(), "claimed": slices})
+    rows = listed.withColumn("physical_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.least(slices, F.lit(most)) - 1)))
+    levels = mip_chain(rows)
+    at = F.col("physical_slice") * F.col("stride") + F.col("offset")
+    out = levels.withColumns({"layer": div(F.col("physical_slice"), F.col("faces")), "face": F.col("physical_slice") % F.col("faces"), "offset": at})
+    return out.withColumn("error", F.when(F.col("offset") + F.col("length") > F.col("payload_bytes"), "TruncatedData"))
+
+
+def replace_range(payload, offset, length, data) -> Column:
+    """The payload with ``length`` bytes from ``offset`` on replaced."""
+    return F.overlay(payload, data, offset + 1, length)

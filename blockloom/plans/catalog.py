@@ -83,6 +83,16 @@ def array_stride(spark, sf_dir):
     return tex.withColumns({"least": F.coalesce("block_bytes", F.lit(4).cast("long")), "size0": palette.payload_bytes("width", "height", "block_bytes")}).select("tex", surfaces.array_stride().alias("stride"))
 
 
+@_query(f"""WITH {_CHAIN_SQL}, st AS (SELECT tex, LEAST(SUM(length), 4294967295)::BIGINT AS stride FROM ch GROUP BY tex),
+x AS (SELECT ch.*, st.stride, 1 + tex % 3 AS layers, CASE WHEN tex % 4 = 0 THEN 6 ELSE 1 END AS faces FROM ch JOIN st USING (tex)), y AS (SELECT *, UNNEST(range(layers * faces)) AS s FROM x)
+SELECT tex, s // faces AS layer, s % faces AS face, mip, s * stride + "offset" AS "offset", length, CASE WHEN s * stride + "offset" + length > stride * layers * faces - tex % 5 * 16 THEN 'TruncatedData' END AS error FROM y""")
+def subresource_ranges(spark, sf_dir):
+    tex = views.tex_part(spark, sf_dir).join(F.broadcast(_content(spark)), "content_id")
+    sized = tex.withColumns({"least": F.coalesce("block_bytes", F.lit(4).cast("long")), "size0": palette.payload_bytes("width", "height", "block_bytes"), "layers": 1 + F.col("tex") % 3, "faces": F.when(F.col("tex") % 4 == 0, F.lit(6).cast("long")).otherwise(F.lit(1).cast("long"))})
+    held = sized.withColumn("payload_bytes", surfaces.array_stride() * F.col("layers") * F.col("faces") - F.col("tex") % 5 * 16)
+    return surfaces.subresources(held).select("tex", "layer", "face", "mip", "offset", "length", "error")
+
+
 _DXGI_SQL = "(SELECT * FROM (VALUES " + _values([tuple(r.values()) for r in formats.dxgi_rows()]) + ") AS d(code, name, bits_per_pixel, block_bytes, content, hdr_content, gpu_name, wgpu_name, vulkan_name))"
 _FOURCC_SQL = "(SELECT * FROM (VALUES " + _values(list(formats.FOURCC.items())) + ") AS f(fourcc, legacy))"
 _FILES_SQL = "(SELECT p_partkey AS tex, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 140 END AS dxgi, CASE p_partkey % 7 WHEN 0 THEN 'DXT1' WHEN 1 THEN 'DXT3' WHEN 2 THEN 'DXT5' WHEN 3 THEN 'ATI1' WHEN 4 THEN 'ATI2' WHEN 5 THEN 'BC4U' ELSE NULL END AS fourcc FROM part)"
