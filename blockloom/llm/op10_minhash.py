@@ -7,16 +7,19 @@ values in common (with probability over 1 - 1e-9 for k = 64 and t = 0.85), so ea
 the lists of its rarest values, just enough of them that two such sketches must meet.  Every list
 links its members to its first one (linear in its length); short lists that still span several
 components are then compared across components.  The members of longer ones first pass the prefix
-filter on full sets, which is exact, meet those lists' least altered member, and are compared
-across components where some remain, so that no link that could join two components is left out.
+filter on full sets, which is exact, and meet those lists' least altered member; where components
+remain apart, members are compared that share enough of their differences to that one, which
+similar ones must, so that no link that could join two components is left out.
 The union sketch estimates the similarity and removes hopeless pairs; the full sets
 confirm the rest.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ OVERLAP = 0.53
 _SIGN = np.uint64(1 << 63)
 
 
-def _sets(words: int, k: int):
+def _sets(words: int, k: int, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             buffer = Buffer(part.column("text"))
@@ -51,7 +54,9 @@ def _sets(words: int, k: int):
                 kept.append(found[:k] ^ _SIGN)
             at = np.concatenate([[0], np.cumsum([len(x) for x in kept])])
             sketch = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(kept).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), sketch, pa.array(full, pa.binary())], ["doc_id", "n", "key", "sketch", "full"])
+            held = {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n": pa.array(sizes, pa.int32()), "key": pa.array(keys, pa.binary())}
+            held |= {"full": pa.array(full, pa.binary())} if whole else {"sketch": sketch}
+            yield pa.RecordBatch.from_arrays(list(held.values()), list(held))
 
     return run
 
@@ -73,34 +78,55 @@ def _confirm(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sets are similar: the union sketch's estimate, then the full sets."""
-    of = lambda at: classes.select(F.col("rep").alias(at), F.col("sketch").alias(f"sketch_{at}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    union = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, k)
-    t = percent / 100
-    # five and a half standard deviations below the threshold
-    least = F.lit(t) - 5.5 * math.sqrt(t * (1 - t)) / F.sqrt(F.size("union"))
-    likely = both.withColumn("union", union).where(F.size(F.array_intersect("union", F.array_intersect("sketch_u", "sketch_v"))) >= least * F.size("union")).select("u", "v")
-    held = lambda at: docs.select(F.col("row_id").alias(at), F.col("full").alias(f"full_{at}"))
-    return likely.join(held("u"), "u").join(held("v"), "v").mapInArrow(_confirm(percent), "u long, v long")
+@dataclass
+class _Corpus:
+    """The input, one class for each distinct set, and how to get whole sets again."""
+
+    texts: DataFrame
+    classes: DataFrame
+    percent: int
+    words: int
+    k: int
+    scratch: Scratch
+    count: Iterator[int] = field(default_factory=itertools.count)
+
+    def sets(self, reps: DataFrame) -> DataFrame:
+        """(rep, n, full) of some classes, made again from their texts: only these are moved."""
+        some = self.classes.join(reps.select("rep").distinct(), "rep", "left_semi").select("rep", "key", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+        held = self.texts.join(some.select("d", "t"), F.expr("doc_id <=> d and text_hash = t"), "left_semi")
+        made = held.mapInArrow(_sets(self.words, self.k, True), "doc_id long, text_hash long, n int, key binary, full binary")
+        return made.groupBy("key").agg(F.first("n").alias("n"), F.first("full").alias("full")).join(some.select("rep", "key"), "key").select("rep", "n", "full")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) of classes whose sets are similar: the union sketch's estimate, then the full sets."""
+        of = lambda at: self.classes.select(F.col("rep").alias(at), F.col("sketch").alias(f"sketch_{at}"))
+        both = pairs.join(of("u"), "u").join(of("v"), "v")
+        union = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, self.k)
+        t = self.percent / 100
+        # five and a half standard deviations below the threshold
+        least = F.lit(t) - 5.5 * math.sqrt(t * (1 - t)) / F.sqrt(F.size("union"))
+        likely = both.withColumn("union", union).where(F.size(F.array_intersect("union", F.array_intersect("sketch_u", "sketch_v"))) >= least * F.size("union")).select("u", "v")
+        likely = self.scratch.save(likely, f"likely{next(self.count)}")
+        sets = self.scratch.save(self.sets(likely.select(F.explode(F.array("u", "v")).alias("rep"))), f"sets{next(self.count)}")
+        held = lambda at: sets.select(F.col("rep").alias(at), F.col("full").alias(f"full_{at}"))
+        return likely.join(held("u"), "u").join(held("v"), "v").mapInArrow(_confirm(self.percent), "u long, v long")
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rep, n, full in zip(batch.column("row_id"), batch.column("n"), batch.column("full"), strict=True):
+        for rep, n, full in zip(batch.column("rep"), batch.column("n"), batch.column("full"), strict=True):
             value = np.frombuffer(full.as_buffer(), np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), rep.as_py())), pa.array(np.full(len(value), n.as_py(), np.int32)), pa.array(value)], ["rep", "n", "value"])
 
 
-def _exact_lists(docs: DataFrame, percent: int) -> DataFrame:
+def _exact_lists(sets: DataFrame, percent: int) -> DataFrame:
     """(value, rep, n, unique): the prefix filter on full sets, for the members of crowded lists.
 
     ``unique`` counts a set's values that no other of these sets has.  A set with more than
     (1 - t) n of them is similar to none.  The rest enter the lists of their rarest values, so many
     that two similar sets must meet.
     """
-    values = docs.select("row_id", "n", "full").mapInArrow(_values, "rep long, n int, value long")
+    values = sets.mapInArrow(_values, "rep long, n int, value long")
     df = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = values.join(df, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     room = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - F.col("unique")
@@ -108,13 +134,42 @@ def _exact_lists(docs: DataFrame, percent: int) -> DataFrame:
     return entered.select("rep", "n", "unique", F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x")).select("rep", "n", "unique", F.col("x.value").alias("value"))
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for p, rep, n, a, b in zip(*(batch.column(c) for c in ("u", "rep", "n", "full_u", "full_v")), strict=True):
+            value = np.setxor1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True).view(np.int64)
+            k = len(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, p.as_py())), pa.array(np.full(k, rep.as_py())), pa.array(np.full(k, n.as_py(), np.int32)), pa.array(np.full(k, k, np.int32)), pa.array(value)], ["u", "rep", "n", "size", "value"])
+
+
+def _difference_lists(exact: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(value, rep, n, unique, size): the prefix filter on each set's difference to its lists' pivots.
+
+    If A and B are similar and A is not similar to a set P, then A and B share an element of their
+    symmetric differences to P (else these would add up to more than similar sets may differ in).
+    The difference of A and B is that of their differences, so two of these must meet among their
+    d + 1 rarest elements, where d is what sets similar to A may differ from it in.
+    """
+    pivots = exact.groupBy("value").agg(F.min(F.struct("unique", "rep")).alias("p")).select("value", F.col("p.rep").alias("u"))
+    held = lambda at, name: sets.select(F.col("rep").alias(at), F.col("full").alias(name))
+    pairs = exact.join(pivots, "value").where("rep <> u").select("u", "rep", "n").distinct()
+    rows = pairs.join(held("u", "full_u"), "u").join(held("rep", "full_v"), "rep").mapInArrow(_differences, "u long, rep long, n int, size int, value long")
+    df = rows.groupBy("u", "value").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(df, ["u", "value"]).groupBy("u", "rep", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    room = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1 - F.col("unique")
+    entered = ranked.withColumn("unique", F.col("size") - F.size("common")).withColumn("room", room).where("room > 0")
+    listed = entered.select("u", "rep", "n", "unique", "size", F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x"))
+    return listed.select(F.xxhash64("u", "x.value").alias("value"), "rep", "n", "unique", "size").distinct()
+
+
 def _alike(percent: int, n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
 def _fewer(lists: DataFrame, percent: int) -> str:
-    """Two similar sets differ in (1 - t) / t of the smaller one at most, and in all their unique values."""
-    return f"{percent} * (unique + unique_u) <= {100 - percent} * least(n, n_u)" if "unique" in lists.columns else "true"
+    """Two similar sets differ in (1 - t) / t of the smaller one at most, so in all their unique values, and their differences to a third set in size."""
+    sums = [x for c, x in (("unique", "unique + unique_u"), ("size", "abs(size - size_u)")) if c in lists.columns]
+    return " and ".join(f"{percent} * ({x}) <= {100 - percent} * least(n, n_u)" for x in sums) or "true"
 
 
 def _to_pivots(lists: DataFrame, order: tuple[str, ...], percent: int) -> DataFrame:
@@ -138,29 +193,31 @@ def _open(member: DataFrame) -> DataFrame:
 
 def _across(open_: DataFrame, percent: int) -> DataFrame:
     """Pairs of list members of different components: all outside the main component with all others."""
-    held = [c for c in ("n", "unique") if c in open_.columns]
+    held = [c for c in ("n", "unique", "size") if c in open_.columns]
     minor = open_.where("root <> main").select("value", F.col("rep").alias("u"), F.col("root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in held])
     met = open_.join(minor, "value").where("root_u <> root and (root = main or u < rep)")
     return met.where(_alike(percent, "n", "n_u")).where(_fewer(open_, percent)).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, k: int = SKETCH, block: int = 64) -> DataFrame:
+def resolve(documents: DataFrame, percent: int = 85, words: int = 5, k: int = SKETCH, block: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``documents`` (doc_id, text).
 
     Similar means ``100 * intersection >= percent * union`` of the shingle sets; the component is
     that of the similarity graph, named by its smallest doc_id.  A text that is null or has no
     word has an empty set and is linked with nothing; shorter texts than a shingle count as one
-    shingle.  Rows that repeat a doc_id are all returned; a null doc_id is never the smallest and
-    its row is not kept unless it is alone with nothing to be kept instead (then component_id is
-    null and kept false).  Other columns are ignored.  An empty table gives an empty result.
+    shingle.  Rows that repeat a doc_id are all returned; a null doc_id is smaller than none, and
+    its row is never ``kept``.  ``stays`` marks one row of each component, the first by doc_id,
+    whatever doc_ids are null or repeated, and every row without words.  Other columns are
+    ignored.  An empty table gives an empty result.
     """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "minhash")
-    made = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets(words, k), "doc_id long, n int, key binary, sketch array<long>, full binary")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    made = texts.mapInArrow(_sets(words, k), "doc_id long, text_hash long, n int, key binary, sketch array<long>")
     docs = scratch.save(made.withColumn("row_id", F.monotonically_increasing_id()), "docs")
-    sets = docs.where("n > 0")
-    named = scratch.save(sets.groupBy("key").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("lowest")), "named")
-    classes = scratch.save(docs.join(named.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "n", "sketch"), "classes")
+    named = scratch.save(docs.where("n > 0").groupBy("key").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("lowest"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")).alias("first")), "named")
+    classes = scratch.save(docs.join(named.select(F.col("rep").alias("row_id")), "row_id", "left_semi").withColumnRenamed("row_id", "rep"), "classes")
+    corpus = _Corpus(texts, classes, percent, words, k, scratch)
 
     postings = classes.select("rep", "n", F.explode("sketch").alias("value"))
     shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -172,26 +229,39 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, k:
         "lists",
     )
 
-    first = scratch.save(_links(_to_pivots(lists, ("rep",), percent), classes, docs, percent, k), "links1")
+    first = scratch.save(corpus.links(_to_pivots(lists, ("rep",), percent)), "links1")
     member = scratch.save(_with_roots(lists, components(first, scratch, "a")), "member")
-    open_ = _open(member)
-    second = _links(_across(open_.where(F.col("members") <= block), percent), classes, docs, percent, k)
-    crowded = open_.where(F.col("members") > block).select("rep").distinct()
-    exact = scratch.save(_exact_lists(docs.join(crowded.withColumnRenamed("rep", "row_id"), "row_id", "left_semi"), percent), "exact")
-    third = _links(_to_pivots(exact, ("unique", "rep"), percent), classes, docs, percent, k)
-    most = scratch.save(first.union(second).union(third), "links3")
-    joined = scratch.save(components(most, scratch, "b"), "joined3")
-    fourth = scratch.save(_links(_across(_open(_with_roots(exact, joined)), percent), classes, docs, percent, k), "links4")
-    final = components(most.union(fourth), scratch, "c")
-
-    class_of = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", "lowest", F.coalesce("root", "rep").alias("root"))
-    lowest = class_of.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    labelled = scratch.save(class_of.join(lowest, "root").select("key", "component_id"), "labelled")
-    scratch.drop("classes", "lists", "links1", "member", "exact", "links3", "joined3", "links4")
-    rows = docs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    open_ = scratch.save(_open(member), "open")
+    scratch.drop("lists", "member")
+    crowded = scratch.save(corpus.sets(open_.where(F.col("members") > block).select("rep")), "crowded")
+    exact = scratch.save(_exact_lists(crowded, percent), "exact")
+    second = _across(open_.where(F.col("members") <= block), percent).union(_to_pivots(exact, ("unique", "rep"), percent))
+    most = scratch.save(first.union(corpus.links(second.distinct())), "links2")
+    apart = scratch.save(_difference_lists(exact, crowded, percent), "apart")
+    fourth = _across(_open(_with_roots(apart, components(most, scratch, "b"))), percent)
+    final = components(most.union(corpus.links(fourth)), scratch, "c")
+
+    class_of = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", "lowest", "first", F.coalesce("root", "rep").alias("root"))
+    lowest = class_of.groupBy("root").agg(F.min("lowest").alias("component_id"), F.min("first").alias("chosen"))
+    labelled = scratch.save(class_of.drop("first").join(lowest, "root").select("key", "component_id", F.col("chosen.row_id").alias("chosen")), "labelled")
+    scratch.drop("classes", "links1", "open", "crowded", "exact", "links2", "apart", *(f"{x}{i}" for x in ("likely", "sets") for i in range(next(corpus.count))))
+    rows = docs.select("doc_id", "text_hash", "row_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(labelled, "key", "left").select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")), F.lit(False)).alias("kept"),
-    )
+        "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"),
+        F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), F.coalesce(F.col("row_id") == F.col("chosen"), F.lit(True)).alias("stays"),
+    )
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, k: int = SKETCH, block: int = 32) -> DataFrame:
+    """The columns doc_id, n_shingles, component_id and kept of ``resolve``."""
+    return resolve(documents, percent, words, k, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, k: int = SKETCH) -> DataFrame:
+    """The rows of ``documents``, all columns, without all but one of each group of near duplicates; texts without words stay."""
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stays = resolve(documents, percent, words, k).where("stays and n_shingles > 0").select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"))
+    hashed = documents.where(wordy).withColumn("s_hash0", F.xxhash64("text"))
+    kept = hashed.join(stays, F.expr("cast(doc_id as long) <=> s_id and s_hash0 = s_hash"), "left_semi").dropDuplicates(["doc_id", "s_hash0"]).drop("s_hash0")
+    return kept.unionByName(documents.where(~wordy))
