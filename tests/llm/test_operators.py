@@ -278,6 +278,30 @@ def test_op9_chains():
     assert sorted(len(c) for c in best) == [1, 1, 3]
 
 
+@pytest.mark.parametrize("gap", [60, 120, 200, 350, 500])
+def test_op9_two_passages(gap):
+    """Two exact passages are found whatever stands between them."""
+    from blockloom.llm.op9_passages import chains, parts
+
+    rng = np.random.default_rng(gap)
+    one, two = rng.integers(0, 1 << 16, (2, 60)).astype(np.uint16)
+    x, y = (np.concatenate([rng.integers(0, 1 << 16, 30), one, rng.integers(0, 1 << 16, gap), two, rng.integers(0, 1 << 16, 30)]).astype(np.uint16) for _ in range(2))
+    seeds = [(at, at) for start in (30, 90 + gap) for at in range(start + 3, start + 56, 5)]
+    found = [f for chain in chains(seeds) for f in parts(x, y, chain, 5, 50, 0.8)]
+    for start in (30, 90 + gap):
+        assert any(b0 <= start and b1 >= start + 60 and identity >= 0.8 for _, _, b0, b1, identity in found)
+
+
+def test_op9_stray_seed():
+    from blockloom.llm.op9_passages import chains, parts
+
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 1 << 16, (2, 300)).astype(np.uint16)
+    x[40:100], x[150:155] = y[40:100], y[150:155]
+    (chain,) = chains([(at, at) for at in (45, 60, 75, 90, 150)])
+    assert [f[2:4] for f in parts(x, y, chain, 5, 50, 0.8)] == [(40, 100)]
+
+
 def plain_components(rows):
     sets = []
     for r in rows:
