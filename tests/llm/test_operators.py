@@ -302,6 +302,21 @@ def test_op9_stray_seed():
     assert [f[2:4] for f in parts(x, y, chain, 5, 50, 0.8)] == [(40, 100)]
 
 
+def test_op9_all_chains(spark):
+    """A loose chain over a true passage does not hide it, and every linked class counts."""
+    from blockloom.llm.op9_passages import passages
+
+    rng = random.Random(3)
+    words = lambda n: prose(rng, n).split()
+    runs, copy, shared = [words(12) for _ in range(24)], words(60), words(60)
+    loose = lambda middle: [w for i, r in enumerate(runs) for w in (*r, *(middle if i == 12 else words(20)))]
+    texts = [loose(words(60)), words(30) + copy + words(30), loose(copy), *(words(40) + shared + words(40) for _ in range(3))]
+    got = {r.doc_id: r for r in passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert any(p.source_id == 1 and p.end_word - p.first_word >= 60 for p in got[2].passages)
+    assert [got[i].n_links for i in (3, 4, 5)] == [2, 2, 2]
+    assert {p.source_id for p in got[5].passages} == {3, 4}
+
+
 def plain_components(rows):
     sets = []
     for r in rows:
