@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents that may overlap are found through shared lines: a rare line links its documents to the
-first of them and to the one before; a frequent line counts only together with the next line, and
-such pairs link to the first document alone, so that the links grow with the lines and not with the
-square of a group.  Each linked pair is aligned by patience diff over line hashes, and aligned
+Documents that may overlap are found through shared lines, short ones by runs of lines: a rare line
+links its documents to the first of them and to the one before; a frequent line links to its first
+document, and together with the next line to the first document of both, so that the links grow with
+the lines and not with the square of a group.  Each linked pair is aligned by patience diff over line hashes, and aligned
 common blocks go from the later document.  Exact copies are one class: its first document stands
 for it, and the others are blocks as a whole.
 """
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textkernel import Buffer, gram_hashes, pieces, span_hashes
+from .textkernel import Buffer, gram_hashes, mix, pieces, span_hashes
 
 #: Words that a linking line and a removed block have at least.
 WORDS = 5
-#: Documents that share a rare line at most.
+#: Documents that share a rare line at most; a more frequent one links to its first document only.
 RARE = 64
 
 
@@ -47,18 +47,27 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _seeds(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, keys, pairs = [], [], []
+            reps, keys, pairs, news = [], [], [], []
             for rank, lines, words in zip(batch.column("rep"), batch.column("lines"), batch.column("words"), strict=True):
                 h, w = np.asarray(lines.values).view(np.uint64), np.asarray(words.values)
-                some = np.flatnonzero(w > 0)
-                pair = np.zeros(len(h), np.uint64)
-                if len(some) > 1:
-                    pair[some[:-1]] = gram_hashes(h[some], 2)
-                own = np.flatnonzero(w >= least)
+                h, w = h[w > 0], w[w > 0].astype(np.int64)
+                total = np.concatenate([[0], np.cumsum(w)])
+                # each line's run ends where it has enough words; a line of as many is a run by itself
+                end = np.searchsorted(total, total[:-1] + least, "left")
+                own = np.flatnonzero(end <= len(h))
+                key, size = h[own].copy(), end[own] - own
+                for n in np.unique(size[size > 1]).tolist():
+                    key[size == n] = mix(gram_hashes(h, n)[own[size == n]] + np.uint64(n))
+                after = np.flatnonzero(end[own] < len(h))
+                pair = np.zeros(len(own), np.uint64)
+                pair[after] = mix(key[after] + mix(h[end[own][after]]))
+                new = np.zeros(len(own), np.int8)
+                new[np.unique(key, return_index=True)[1]] = 1
                 reps.append(np.full(len(own), rank.as_py(), np.int64))
-                keys.append(h[own].view(np.int64))
-                pairs.append(pair[own].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (reps, keys, pairs)], ["rep", "line", "pair"])
+                keys.append(key.view(np.int64))
+                pairs.append(pair.view(np.int64))
+                news.append(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, t)])) for x, t in ((reps, np.int64), (keys, np.int64), (pairs, np.int64), (news, np.int8))], ["rep", "line", "pair", "new"])
 
     return run
 
@@ -166,17 +175,17 @@ def dedup_lines(documents: DataFrame, least: int = WORDS, rare: int = RARE, colu
     first = sized.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("f"), F.first("lines").alias("lines"), F.first("words").alias("words"))
     ordered = first.orderBy("f").withColumn("rep", F.monotonically_increasing_id())
     classes = scratch.save(ordered.select("key", "rep", F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("first_hash"), "lines", "words"), "classes")
-    seeds = scratch.save(classes.select("rep", "lines", "words").mapInArrow(_seeds(least), "rep long, line long, pair long"), "seeds")
-    often = seeds.groupBy("line").agg(F.count("*").alias("df")).where("df > 1")
+    seeds = scratch.save(classes.select("rep", "lines", "words").mapInArrow(_seeds(least), "rep long, line long, pair long, new byte"), "seeds")
+    often = seeds.groupBy("line").agg(F.sum("new").alias("df"), F.min("rep").alias("start")).where("df > 1")
     known = scratch.save(seeds.join(often, "line"), "known")
-    single = known.where(F.col("df") <= rare).select("line", "rep").distinct()
+    single = known.where((F.col("df") <= rare) & (F.col("new") == 1)).select("line", "rep", "start")
     before = F.lag("rep").over(Window.partitionBy("line").orderBy("rep"))
-    start = F.min("rep").over(Window.partitionBy("line"))
-    near = single.select(F.col("rep").alias("later"), before.alias("before"), start.alias("start")).select("later", F.explode(F.array("before", "start")).alias("earlier"))
-    double = known.where((F.col("df") > rare) & (F.col("pair") != 0)).select("pair", "rep")
+    near = single.select(F.col("rep").alias("later"), before.alias("before"), "start").select("later", F.explode(F.array("before", "start")).alias("earlier"))
+    frequent = known.where(F.col("df") > rare)
+    double = frequent.where(F.col("pair") != 0).select("pair", "rep")
     pivots = double.groupBy("pair").agg(F.min("rep").alias("earlier"))
     far = double.join(pivots, "pair").select(F.col("rep").alias("later"), "earlier")
-    pairs = scratch.save(near.union(far).where("earlier < later").distinct(), "pairs")
+    pairs = scratch.save(near.union(frequent.select("rep", "start")).union(far).where("earlier < later").distinct(), "pairs")
     left = classes.select(F.col("rep").alias("earlier"), F.col("lines").alias("lines_a"))
     right = classes.select(F.col("rep").alias("later"), F.col("lines").alias("lines_b"), "words")
     found = pairs.join(left, "earlier").join(right, "later").mapInArrow(_align(least), "rep long, first int, end int")

@@ -146,6 +146,27 @@ def test_op4(docs, rows):
     assert by[8][0].text == texts[8]
 
 
+def test_op4_frequent_line(spark):
+    """A line goes from all later documents, however many have it and whatever follows it."""
+    from blockloom.llm.op4_lines import dedup_lines
+
+    rng = random.Random(4)
+    line = "this very line is in all documents"
+    texts = [prose(rng, 9) + "\n" + line + ("\n" + prose(rng, 9)) * (i % 2) for i in range(90)]
+    got = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: int(i > 0) for i in range(90)}
+
+
+def test_op4_short_lines(spark):
+    from blockloom.llm.op4_lines import dedup_lines
+
+    rng = random.Random(6)
+    run = "one two\n\nthree\nfour five six"
+    texts = [f"{prose(rng, 8)}\n{run}\n{prose(rng, 8)}" for _ in range(3)]
+    got = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 4, 2: 4}
+
+
 def test_op5(spark, docs, empty):
     from blockloom.llm.op5_decontaminate import leaks
 
