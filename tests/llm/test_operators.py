@@ -338,6 +338,22 @@ def test_op9_all_chains(spark):
     assert {p.source_id for p in got[5].passages} == {3, 4}
 
 
+def test_op9_scattered_seeds(spark):
+    """A passage whose 5-word runs all stand in other documents too is found."""
+    from blockloom.llm.op9_passages import passages
+
+    rng = random.Random(8)
+    shared = prose(rng, 60).split()
+    texts = [prose(rng, 40).split() + shared + prose(rng, 40).split()]
+    for side in range(2):
+        texts += [prose(rng, 30).split() + shared[i : i + 9] + prose(rng, 30).split() for i in range(0, 56, 2)]
+        texts += [prose(rng, 40).split() + shared + prose(rng, 40).split()] * side
+    texts = texts[1:29] + texts[:1] + texts[29:]
+    last = len(texts) - 1
+    got = {r.doc_id: r for r in passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert any(p.source_id == 28 and p.end_word - p.first_word >= 60 for p in got[last].passages)
+
+
 def plain_components(rows):
     sets = []
     for r in rows:
