@@ -32,11 +32,22 @@ from .scratch import Scratch
 from .textkernel import FOLDED_VALUES, Buffer, pieces, shingles, span_hashes
 
 SKETCH = 64
-#: Share of a sketch that two similar sets keep in common at least.
-OVERLAP = 0.53
+#: Chance that two similar sets keep less of their sketches in common than ``overlap`` says.
+CHANCE = 1e-9
 _SIGN = np.uint64(1 << 63)
 
 
+def overlap(percent: int, k: int = SKETCH) -> float:
+    """Share of a sketch that two similar sets keep in common at least, rounded down to hundredths."""
+    t, below, c = percent / 100, 0.0, 0
+    while c < k:
+        below += math.comb(k, c) * t**c * (1 - t) ** (k - c)
+        if below > CHANCE:
+            break
+        c += 1
+    return (100 * c // k) / 100
+
+
 def _sets(words: int, k: int, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
@@ -223,7 +234,7 @@ def resolve(documents: DataFrame, percent: int = 85, words: int = 5, k: int = SK
     shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = postings.join(shared, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     held = F.least(F.col("n"), F.lit(k))
-    entered = held - F.floor(held * OVERLAP).cast("int") + 1 - (held - F.size("common"))
+    entered = held - F.floor(held * overlap(percent, k)).cast("int") + 1 - (held - F.size("common"))
     lists = scratch.save(
         ranked.withColumn("entered", F.least(entered, F.size("common"))).where("entered > 0").select("rep", "n", F.explode(F.slice("common", F.lit(1), F.col("entered"))).alias("x")).select("rep", "n", F.col("x.value").alias("value")),
         "lists",
