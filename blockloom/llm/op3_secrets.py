@@ -92,6 +92,15 @@ def windows(buffer: Buffer, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidate, start and end of each window: all candidates, and overlapping windows over those longer than INSIDE."""
+    more = np.maximum(-(-(ends - starts - INSIDE) // (INSIDE // 2)), 0)
+    owner = np.repeat(np.arange(len(starts)), more)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more) + 1
+    at = np.minimum(starts[owner] + step * (INSIDE // 2), ends[owner] - INSIDE)
+    return np.concatenate([np.arange(len(starts)), owner]), np.concatenate([starts, at]), np.concatenate([ends, at + INSIDE])
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, maximum over positions, one linear unit; then Platt's scale and the threshold."""
@@ -159,7 +168,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = 14, rate: flo
     net.scale = (a, b)
     # of the thresholds whose recall is high enough the most precise one, which is the highest
     good = np.sort(net.probabilities(x[held][t == 1]))
-    net.threshold = max(0.5, float(good[int((1 - RECALL) * len(good))])) if len(good) else 0.5
+    net.threshold = float(good[int((1 - RECALL) * len(good))]) if len(good) else 0.5
     return net
 
 
@@ -221,16 +230,19 @@ def _scan(net: Network):
             point = _sums(_HEAD[buffer.data])
             base = base_findings(buffer)
             starts, ends = candidates(buffer)
-            sure = net.probabilities(windows(buffer, starts, ends)) >= net.threshold
+            owner, first, last = spans(starts, ends)
+            best = np.zeros(len(starts))
+            np.maximum.at(best, owner, net.probabilities(windows(buffer, first, last)))
+            sure = best >= net.threshold
             sure &= ~_inside(starts, ends, base)
             doc = buffer.document_of(starts) if len(starts) else starts
             found = sorted(base + [(int(d), 3, int(a), int(b)) for d, a, b in zip(doc[sure], starts[sure], ends[sure], strict=True)], key=lambda f: (f[0], f[2], f[1]))
-            spans: list[list[dict]] = [[] for _ in range(buffer.n)]
+            listed: list[list[dict]] = [[] for _ in range(buffer.n)]
             for d, kind, a, b in found:
                 at = int(point[buffer.starts[d]])
-                spans[d].append({"kind": KINDS[kind], "start": int(point[a]) - at, "end": int(point[b]) - at})
+                listed[d].append({"kind": KINDS[kind], "start": int(point[a]) - at, "end": int(point[b]) - at})
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, kind)], ["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(listed, kind)], ["doc_id", "found"])
 
     return run
 
