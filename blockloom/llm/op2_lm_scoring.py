@@ -1,14 +1,19 @@
 """Scoring documents by cross-entropy difference of two n-gram models.
 
 Target (documents labelled as good) and background (all documents) models are interpolated bigram
-models over one shared vocabulary of hashed words: every word and word pair of the corpus is
-counted, into tables of a fixed size that both models share.  The background's counts are scaled
-to the target's number of tokens, so that both are smoothed alike.  A token's score is its loss
-under the background less its loss under the target; a document's is the mean.
-
-Each task sums its own counts into dense blocks, and blocks are added up in rounds of a bounded
-number of tasks, so that no task gathers an unbounded group and the tables that go to the executors
-have a fixed size.
+models over one shared vocabulary: the words that occur most, an unknown word for the rest, and a
+start mark as the context of a document's first word.  The vocabulary has ``MOST`` words at most
+(a bound of the models; below it every word is in).  Every pair of neighbouring words is counted
+exactly, in tables that grow with the corpus and are joined with the documents' pairs, never sent
+to a task as a whole.  The background's counts are scaled to the target's number of tokens, so
+that both are smoothed alike.  A token's score is its loss under the background less its loss under
+the target; a document's is the mean.
+
+    P(w) = (c(w) + 1) / (N + V + 1)        for V words and the unknown one
+    P(w | v) = (c(v, w) + PRIOR P(w)) / (c(v) + PRIOR)
+
+A pair that occurs once in the corpus is kept in no table: what a document's pair finds no entry
+for occurs in this document alone.
 """
 
 from __future__ import annotations
@@ -18,34 +23,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textkernel import FOLDED_VALUES, Buffer, mix, pieces, span_hashes
+from .textkernel import FOLDED_VALUES, Buffer, pieces, span_hashes
 
-#: Entries of the shared vocabulary and of the table of word pairs.
-VOCABULARY, PAIRS = 1 << 18, 1 << 20
+#: Words of the shared vocabulary at most.
+MOST = 1 << 18
 #: Weight of the unigram model in a bigram's estimate, in counts.
 PRIOR = 4.0
-_BLOCK = 1 << 15
-#: Tasks whose counts one task of a round adds up.
-FAN_IN = 64
 _START = np.uint64(0x53A9E1F04C7D2B68)
 
 
 @dataclass
 class Tokens:
+    """The words of some texts as hashes, the word before each (a start mark for the first), and each text's number of words."""
+
     doc: np.ndarray
     word: np.ndarray
     before: np.ndarray
-    pair: np.ndarray
     count: np.ndarray
 
 
 def read_tokens(texts: pa.Array) -> Tokens:
-    """Vocabulary entries of all words, of the word before (a start mark for the first), and of the pair."""
     buffer = Buffer(texts)
     starts, ends = buffer.words()
     words = span_hashes(buffer.prefix(FOLDED_VALUES), starts, ends)
@@ -53,99 +54,148 @@ def read_tokens(texts: pa.Array) -> Tokens:
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[cut[:-1][np.diff(cut) > 0]] = _START
-    pair = mix(words + mix(before))
-    entry = lambda x, n: (x >> np.uint64(20)).astype(np.int64) & (n - 1)
-    return Tokens(np.repeat(np.arange(buffer.n), np.diff(cut)), entry(words, VOCABULARY), entry(before, VOCABULARY), entry(pair, PAIRS), np.diff(cut))
+    return Tokens(np.repeat(np.arange(buffer.n), np.diff(cut)), words, before, np.diff(cut))
 
 
-def _blocks(part: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    flat = table.reshape(-1, _BLOCK)
-    some = np.flatnonzero(flat.any(axis=1))
-    for a in range(0, len(some), 64):
-        own = some[a : a + 64]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(np.full(len(own), part, np.int64)), pa.array([flat[i].tobytes() for i in own], pa.binary())], ["block", "part", "counts"])
+def _target(part: pa.RecordBatch, tokens: Tokens) -> np.ndarray:
+    return np.asarray(part.column("target").cast(pa.int8())).astype(np.int64)[tokens.doc]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # rows: target words, target pairs, background words, background pairs
-    size = VOCABULARY + PAIRS
-    table = np.zeros(2 * size, np.int64)
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word occurs, and is the word before another, in all documents and in the target."""
     for part in pieces(batches):
         tokens = read_tokens(part.column("text"))
-        good = np.asarray(part.column("target").fill_null(False).cast(pa.int8())).astype(bool)[tokens.doc]
-        for at, own in ((0, good), (size, slice(None))):
-            table[at : at + VOCABULARY] += np.bincount(tokens.word[own], minlength=VOCABULARY)
-            table[at + VOCABULARY : at + size] += np.bincount(tokens.pair[own], minlength=PAIRS)
-    yield from _blocks(TaskContext.get().partitionId(), table)
-
-
-def _add(key: tuple, table: pa.Table) -> pa.Table:
-    total = np.zeros(_BLOCK, np.int64)
-    for x in table.column("counts"):
-        total += np.frombuffer(x.as_buffer(), np.int64)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        good = _target(part, tokens)
+        words, at = np.unique(np.concatenate([tokens.word, tokens.before]), return_inverse=True)
+        n, k = len(tokens.word), len(words)
+        held = [np.bincount(x, w, minlength=k).astype(np.int64) for x, w in ((at[:n], None), (at[n:], None), (at[:n], good), (at[n:], good))]
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(x) for x in held)], ["word", "n", "ctx", "target_n", "target_ctx"])
 
 
 @dataclass
-class Model:
-    """Counts of words, of words as contexts (the same table), and of pairs, and the number of tokens."""
+class Vocabulary:
+    """Word hashes in order (number i + 1 is word i's; 0 is the unknown word, the last one the start mark), with their counts."""
+
+    hashes: np.ndarray
+    #: n, ctx, target_n, target_ctx by number
+    counts: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.hashes) + 2
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(words), np.int64)
+        if len(self.hashes):
+            at = np.searchsorted(self.hashes, words)
+            at[at == len(self.hashes)] = 0
+            out = np.where(self.hashes[at] == words, at + 1, 0)
+        out[words == _START] = self.size - 1
+        return out
+
+    def pairs(self, tokens: Tokens) -> np.ndarray:
+        """One number for each token and the one before it."""
+        return self.numbers(tokens.before) * self.size + self.numbers(tokens.word)
+
+    def scale(self) -> float:
+        """What background counts are multiplied by."""
+        return max(1, int(self.counts[2].sum())) / max(1, int(self.counts[0].sum()))
+
+    def table(self) -> list[tuple]:
+        """(id, prior and context weights of both models) of each number."""
+        out = []
+        for n, ctx, scale in ((self.counts[2], self.counts[3], 1.0), (self.counts[0], self.counts[1], self.scale())):
+            out += [PRIOR * (n * scale + 1) / (n.sum() * scale + self.size - 1), ctx * scale + PRIOR]
+        return [(i, *x) for i, x in enumerate(zip(*(x.tolist() for x in out), strict=True))]
+
+
+def vocabulary(rows: DataFrame, scratch: Scratch, most: int = MOST) -> Vocabulary:
+    """The words of the highest counts, as many classes of counts (four to a doubling) as stay within ``most`` words."""
+    words = scratch.save(rows.mapInArrow(_words, "word long, n long, ctx long, target_n long, target_ctx long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "ctx", "target_n", "target_ctx")]), "words")
+    start = int(_START.astype(np.int64))
+    grade = F.floor(F.log2("n") * 4)
+    real = F.col("word") != start
+    sizes = words.where(real & (F.col("n") > 0)).groupBy(grade.alias("grade")).agg(F.count("*").alias("k")).collect()
+    held, least = 0, None
+    for r in sorted(sizes, reverse=True):
+        if (held := held + r.k) > most:
+            break
+        least = r.grade
+    kept = words.where(~real if least is None else ~real | (grade >= least)).orderBy("word").toArrow()
+    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "ctx", "target_n", "target_ctx")]).first()
+    hashes = kept.column("word").to_numpy().view(np.uint64)
+    counts = np.stack([kept.column(c).to_numpy() for c in ("n", "ctx", "target_n", "target_ctx")])
+    order = np.argsort(hashes, kind="stable")
+    own = order[hashes[order] != _START]
+    first = counts[:, hashes == _START].sum(axis=1)
+    unknown = np.array(tuple(total), np.int64) - counts.sum(axis=1)
+    return Vocabulary(hashes[own], np.concatenate([unknown[:, None], counts[:, own], first[:, None]], axis=1))
+
+
+def _counts(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            tokens = read_tokens(part.column("text"))
+            pairs, at = np.unique(held.value.pairs(tokens), return_inverse=True)
+            good = np.bincount(at, _target(part, tokens), minlength=len(pairs)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(at, minlength=len(pairs))), pa.array(good)], ["pair", "n", "target_n"])
 
-    words: np.ndarray
-    pairs: np.ndarray
+    return run
 
-    def losses(self, tokens: Tokens) -> np.ndarray:
-        total = self.words.sum()
-        base = (self.words[tokens.word] + 1 / VOCABULARY * PRIOR) / (total + PRIOR)
-        return -np.log((self.pairs[tokens.pair] + PRIOR * base) / (np.maximum(self.words[tokens.before], self.pairs[tokens.pair]) + PRIOR))
 
+def _pairs(held):
+    """The distinct pairs of each document with their numbers."""
 
-def train(documents: DataFrame, target: DataFrame, scratch: Scratch) -> tuple[Model, Model]:
-    """The target's and the background's model, from every document; ``target`` has the doc_id of the former's."""
-    good = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    # merged by sorted keys whatever the list's size, so that the step costs the same a byte everywhere
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    schema = "block long, part long, counts binary"
-    level = scratch.save(rows.mapInArrow(_count, schema), "counts0")
-    step = 0
-    while (level.agg(F.max("part").alias("m")).first().m or 0) > 0:
-        step += 1
-        level = scratch.save(level.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("block", "part").applyInArrow(_add, schema), f"counts{step}")
-        scratch.drop(f"counts{step - 1}")
-    size = VOCABULARY + PAIRS
-    table = np.zeros(2 * size)
-    for r in level.toLocalIterator():
-        table[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, np.int64)
-    of = lambda at: (table[at : at + VOCABULARY].copy(), table[at + VOCABULARY : at + size].copy())
-    (tw, tp), (bw, bp) = of(0), of(size)
-    scale = max(tw.sum(), 1) / max(bw.sum(), 1)
-    pack = lambda x: x.astype(np.float32)
-    return Model(pack(tw), pack(tp)), Model(pack(bw * scale), pack(bp * scale))
-
-
-def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = held.value
         for part in pieces(batches):
             tokens = read_tokens(part.column("text"))
-            n = part.num_rows
-            each = np.maximum(tokens.count, 1)
-            t = np.bincount(tokens.doc, target.losses(tokens), n) / each
-            b = np.bincount(tokens.doc, background.losses(tokens), n) / each
-            known = tokens.count == 0
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens.count, pa.int64()), pa.array(t, mask=known), pa.array(b, mask=known), pa.array(b - t, mask=known)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            pair = held.value.pairs(tokens)
+            by = np.lexsort((pair, tokens.doc))
+            doc, pair = tokens.doc[by], pair[by]
+            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))[: len(doc)])
+            own = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(own) for c in ("doc_id", "text_hash", "target")), pa.array(pair[first]), pa.array(np.diff(np.append(first, len(doc))))], ["doc_id", "text_hash", "target", "pair", "n"])
 
     return run
 
 
-def score(documents: DataFrame, target: DataFrame) -> DataFrame:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in pieces(batches):
+        buffer = Buffer(part.column("text"))
+        count = np.diff(buffer.split(buffer.words()[0]))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(count, pa.int64())], ["doc_id", "text_hash", "n_tokens"])
+
+
+def score(documents: DataFrame, target: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of each row of ``documents`` (doc_id, text).
 
     ``target`` lists the doc_ids of the target corpus.  Losses are nats a token; a text without
     words (or null) has none (null).  Repeated rows are counted and scored each; a null doc_id is
-    background only; without target documents the target model is uniform.
+    background only; without target documents the target model is uniform.  Words are told apart
+    by 64-bit hashes, A-Z counts as a-z.  Other columns are ignored; an empty table gives no rows.
     """
-    scratch = Scratch(documents.sparkSession, "lm")
-    models = train(documents, target, scratch)
-    held = documents.sparkSession.sparkContext.broadcast(models)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(held), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "lm")
+    good = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
+    text = F.col("text").cast("string")
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    # merged by sorted keys whatever the lists' size, so that a step costs the same a byte everywhere
+    rows = scratch.save(plain.join(good.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False))), "rows")
+    held = vocabulary(rows, scratch, most)
+    shared = spark.sparkContext.broadcast(held)
+    known = rows.select("text", "target").mapInArrow(_counts(shared), "pair long, n long, target_n long").groupBy("pair").agg(F.sum("n").alias("all_n"), F.sum("target_n").alias("target_n")).where("all_n > 1")
+    known = scratch.save(known, "pairs")
+    table = spark.createDataFrame(held.table(), "id long, target_prior double, target_context double, all_prior double, all_context double")
+    # MOST + 2 rows at most
+    prior = F.broadcast(table.select(F.col("id").alias("w"), "target_prior", "all_prior"))
+    context = F.broadcast(table.select(F.col("id").alias("v"), "target_context", "all_context"))
+    own = rows.mapInArrow(_pairs(shared), "doc_id long, text_hash long, target boolean, pair long, n long")
+    found = own.join(known.hint("merge"), "pair", "left").withColumn("v", F.expr(f"pair div {held.size}")).withColumn("w", F.expr(f"pair % {held.size}")).join(prior, "w").join(context, "v")
+    loss = lambda count, model: F.sum(-F.log((count + F.col(f"{model}_prior")) / F.col(f"{model}_context")) * F.col("n"))
+    seen = F.coalesce("target_n", F.col("target").cast("long"))
+    sums = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.sum("n").alias("k"), loss(seen, "target").alias("target_sum"), loss(F.coalesce("all_n", F.lit(1)) * held.scale(), "all").alias("all_sum"))
+    sums = scratch.save(sums, "sums")
+    scratch.drop("words", "pairs")
+    mean: dict[str, Column] = {c: F.col(f"{c}_sum") / F.col("k") for c in ("target", "all")}
+    sized = rows.select("doc_id", "text_hash", "text").mapInArrow(_sizes, "doc_id long, text_hash long, n_tokens long")
+    return sized.join(sums.hint("merge"), F.expr("doc_id <=> d and text_hash = t"), "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["all"].alias("background_loss"), (mean["all"] - mean["target"]).alias("score"))

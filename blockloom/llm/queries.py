@@ -36,7 +36,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op2_lm_scoring import score
 
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0")
-    return score(_documents(spark, sf_dir), good)
+    found = score(_documents(spark, sf_dir), good)
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffixes, op2_lm_scoring, op3_secrets, op4_lines, op5_decontaminate, op6_sharding, op7_packing, op8_quality, op9_passages, op10_minhash)}
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: Holds while the corpus has no more words than the models' vocabulary, so that no word is unknown.
+_LM_SQL = f"""
+with good as (select distinct doc_id from labels where quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null),
+docs as (select row_number() over () as r, doc_id, {_WORDS} as words, coalesce(doc_id in (select doc_id from good), false) as target from documents),
+tokens as (select r, target, unnest(words) as w, unnest(list_prepend(null, words)[1:len(words)]) as v from docs),
+pairs as (select v, w, count(*) as all_n, count(*) filter (where target) as target_n from tokens group by v, w),
+words as (select w, sum(all_n) as all_n, sum(target_n) as target_n from pairs group by w),
+contexts as (select v, sum(all_n) as all_n, sum(target_n) as target_n from pairs group by v),
+total as (select coalesce(sum(all_n), 0) as all_n, coalesce(sum(target_n), 0) as target_n, count(*) as size, greatest(1, coalesce(sum(target_n), 0)) / greatest(1, coalesce(sum(all_n), 0))::double as scale from words),
+losses as (
+    select p.v, p.w,
+        -ln((p.target_n + 4 * (w.target_n + 1)::double / (t.target_n + t.size + 1)) / (c.target_n + 4)) as target_loss,
+        -ln((p.all_n * t.scale + 4 * (w.all_n * t.scale + 1) / (t.all_n * t.scale + t.size + 1)) / (c.all_n * t.scale + 4)) as all_loss
+    from pairs p join words w using (w) join contexts c on c.v is not distinct from p.v cross join total t
+),
+sums as (select r, avg(target_loss) as target_loss, avg(all_loss) as all_loss from tokens k join losses l on l.w = k.w and l.v is not distinct from k.v group by r)
+select doc_id, len(words)::bigint as n_tokens, round(target_loss, 6) as target_loss, round(all_loss, 6) as background_loss, round(all_loss - target_loss, 6) as score
+from docs left join sums using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_lm_scoring": _LM_SQL}
