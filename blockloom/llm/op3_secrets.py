@@ -3,9 +3,9 @@
 A candidate is a maximal run of key characters, 16 or longer, that has a digit or capitals inside.
 The network reads its characters with the context on both sides.  It is fitted here, in numpy, on
 labelled findings: candidates of the corpus (a bounded sample; those in a base finding are
-secrets, plain numbers, words and addresses are not) and generated ones.  A held-out part
-calibrates its scores (Platt) and sets the threshold: the most precise one whose recall is at least
-``RECALL``.
+secrets, plain numbers and words outside of them are not, and what is neither is left out) and
+generated ones.  Three held-out parts calibrate its scores (Platt), set the threshold, the most
+precise one whose recall is at least ``RECALL``, and tell recall and precision as they then are.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _KEY = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
 _DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
+_LOWER = np.isin(np.arange(256), np.arange(97, 123))
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 
 
@@ -49,8 +50,8 @@ def base_findings(buffer: Buffer) -> list[tuple[int, int, int, int]]:
     """(document, kind, first byte, end) of the fixed patterns, in the buffer's positions."""
     found = []
     starts, ends = buffer.runs(_HEX[buffer.data])
-    for a, b in zip(*(x[ends - starts >= LEAST["hex"]] for x in (starts, ends)), strict=True):
-        found.append((int(buffer.document_of(np.array([a]))[0]), 2, int(a), int(b)))
+    starts, ends = (x[ends - starts >= LEAST["hex"]] for x in (starts, ends))
+    found += [(d, 2, a, b) for d, a, b in zip(buffer.document_of(starts).tolist(), starts.tolist(), ends.tolist(), strict=True)]
     marks = _sums((buffer.data == 61) | (buffer.data == 58))
     for i in np.flatnonzero(marks[buffer.ends] > marks[buffer.starts]).tolist():
         at = int(buffer.starts[i])
@@ -111,6 +112,9 @@ class Network:
     out: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
     threshold: float = 0.5
+    #: on findings that nothing was set by
+    recall: float = float("nan")
+    precision: float = float("nan")
 
     def _hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = self.embed[x]
@@ -134,7 +138,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = 14, rate: flo
     p = [a.astype(np.float32) for a in p]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     order = rng.permutation(len(x))
-    held, own = order[: len(x) // 4], order[len(x) // 4 :]
+    eighth = len(x) // 8
+    scaled, held, told, own = np.split(order, [eighth, 2 * eighth, 3 * eighth])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     step = 0
     for _ in range(rounds):
@@ -160,15 +165,18 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = 14, rate: flo
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     net = Network(*p)
-    z, t = net.logits(x[held]), y[held]
+    z, t = net.logits(x[scaled]), y[scaled]
     a, b = 1.0, 0.0
     for _ in range(400):
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         a, b = a - 0.05 * float(((q - t) * z).mean() / max(1.0, float(np.abs(z).mean()))), b - 0.05 * float((q - t).mean())
     net.scale = (a, b)
     # of the thresholds whose recall is high enough the most precise one, which is the highest
-    good = np.sort(net.probabilities(x[held][t == 1]))
+    good = np.sort(net.probabilities(x[held][y[held] == 1]))
     net.threshold = float(good[int((1 - RECALL) * len(good))]) if len(good) else 0.5
+    sure = net.probabilities(x[told]) >= net.threshold
+    hits = int((sure & (y[told] == 1)).sum())
+    net.recall, net.precision = hits / max(1, int((y[told] == 1).sum())), hits / max(1, int(sure.sum()))
     return net
 
 
@@ -196,21 +204,31 @@ def generated(seed: int = 11, n: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     return windows(buffer, starts, ends), np.array(labels)
 
 
-def _inside(starts: np.ndarray, ends: np.ndarray, found: list[tuple[int, int, int, int]]) -> np.ndarray:
+def _inside(starts: np.ndarray, ends: np.ndarray, found: list[tuple[int, int, int, int]], size: int) -> np.ndarray:
     """Whether each candidate overlaps a base finding."""
-    out = np.zeros(len(starts), bool)
-    for _, _, a, b in found:
-        out |= (starts < b) & (ends > a)
-    return out
+    change = np.zeros(size + 1, np.int64)
+    spots = np.array([f[2:] for f in found], np.int64).reshape(-1, 2)
+    np.add.at(change, spots[:, 0], 1)
+    np.add.at(change, spots[:, 1], -1)
+    covered = _sums(np.cumsum(change)[:-1] > 0)
+    return covered[ends] > covered[starts]
+
+
+def plain(buffer: Buffer, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Candidates that are known to be none: without letters, or words (two digits and a capital in six letters at most)."""
+    digits, capitals, letters = (_sums(m[buffer.data]) for m in (_DIGIT, _UPPER, _UPPER | _LOWER))
+    digits, capitals, letters = (x[ends] - x[starts] for x in (digits, capitals, letters))
+    return (letters == 0) | ((digits <= 2) & (6 * capitals <= letters))
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
         buffer = Buffer(part.column("text"))
         starts, ends = candidates(buffer)
-        secret = _inside(starts, ends, base_findings(buffer))
-        x = windows(buffer, starts, ends)
-        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(secret)], ["window", "secret"])
+        secret = _inside(starts, ends, base_findings(buffer), len(buffer))
+        known = secret | plain(buffer, starts, ends)
+        x = windows(buffer, starts[known], ends[known])
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(secret[known])], ["window", "secret"])
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Network:
@@ -234,7 +252,7 @@ def _scan(net: Network):
             best = np.zeros(len(starts))
             np.maximum.at(best, owner, net.probabilities(windows(buffer, first, last)))
             sure = best >= net.threshold
-            sure &= ~_inside(starts, ends, base)
+            sure &= ~_inside(starts, ends, base, len(buffer))
             doc = buffer.document_of(starts) if len(starts) else starts
             found = sorted(base + [(int(d), 3, int(a), int(b)) for d, a, b in zip(doc[sure], starts[sure], ends[sure], strict=True)], key=lambda f: (f[0], f[2], f[1]))
             listed: list[list[dict]] = [[] for _ in range(buffer.n)]
