@@ -3,8 +3,9 @@
 A linear-chain conditional random field with two labels, content and boilerplate, reads a
 document's lines in order; Viterbi decoding marks each line, and the share of words that stand on
 content lines decides whether the document stays.  The field is fitted here by gradient ascent on
-the likelihood of a bounded sample of labelled documents (their lines take the document's label);
-everything else covers every line of every document.
+the likelihood of a bounded sample of labelled documents: the lines of bad ones are boilerplate, and
+those of good ones content but for repeated lines and lines of symbols; an empty line goes with the
+one before.  Everything else covers every line of every document.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .textkernel import BYTE_VALUES, IS_SPACE, Buffer, gram_hashes, mix, pieces,
 
 #: Labelled documents that the field is fitted on at most (those of the smallest hash of doc_id).
 SAMPLE = 2000
+#: Lines of one of them that the field is fitted on at most (the first).
+LINES = 2000
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _STARTS = (np.arange(256) & 0xC0) != 0x80
@@ -124,13 +127,29 @@ def viterbi(field: Field, features: np.ndarray, counts: np.ndarray) -> np.ndarra
     return label
 
 
-def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> Field:
+def line_labels(features: np.ndarray, counts: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """What each line of labelled documents is taken for: 1 content, 0 boilerplate."""
+    at = np.cumsum([1, *(len(x) + 1 for x in _CUTS.values())])
+    symbols = features[:, at[0] + len(_CUTS["symbols"])] > 0
+    again, empty = features[:, at[-1]] > 0, features[:, at[-1] + 3] > 0
+    label = np.repeat(quality, counts).astype(np.int64) * ~(symbols | again)
+    first = np.zeros(len(label), bool)
+    first[(np.cumsum(counts) - counts)[counts > 0]] = True
+    source = np.maximum.accumulate(np.where(~empty | first, np.arange(len(label)), 0))
+    return label[source]
+
+
+def fit(features: np.ndarray, counts: np.ndarray, gold: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> Field:
     """Maximum conditional likelihood by Adam; forward-backward over all sequences at once."""
     k = features.shape[1]
     theta = np.zeros(k + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     steps = list(_by_step(counts))
-    gold = np.repeat(labels, counts).astype(np.int64)
+    inner = np.ones(len(gold), bool)
+    inner[(np.cumsum(counts) - counts)[counts > 0]] = False
+    inner = np.flatnonzero(inner)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (gold[inner - 1], gold[inner]), 1.0)
     total = max(1, len(gold))
     for r in range(1, rounds + 1):
         emit, step = theta[:k], theta[k:].reshape(2, 2)
@@ -151,8 +170,6 @@ def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: in
                 pair += np.exp(alpha[lines - 1][:, :, None] + step[None] + tail[:, None, :] - z[docs][:, None, None]).sum(0)
                 after[docs] = np.logaddexp.reduce(step[None] + tail[:, None, :], axis=2)
         p = np.exp(alpha + beta - np.repeat(z, counts)[:, None])
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels.astype(int), labels.astype(int)), counts - 1.0)
         grad = np.concatenate([features.T @ (gold - p[:, 1]), (seen - pair).ravel()]) / total - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
@@ -165,21 +182,24 @@ def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         lines = read_lines(buffer, buffer.prefix(), buffer.words()[0])
         counts = _lines_of(buffer)
         at = np.concatenate([[0], np.cumsum(counts)])
-        held = [lines.features[a:b].astype(np.uint8).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        held = [lines.features[a : min(b, a + LINES)].astype(np.uint8).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(held, pa.binary())], ["doc_id", "quality", "features"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """The field of ``sample`` labelled documents at most; with labels of one kind or none, one that marks all as content."""
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     held = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = sorted(held.mapInArrow(_line_features, "doc_id long, quality int, features binary").collect(), key=lambda r: (r.doc_id, r.quality, bytes(r.features)))
+    # of rows that repeat a doc_id one, so that what is collected stays bounded
+    held = held.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    rows = sorted(held.mapInArrow(_line_features, "doc_id long, quality int, features binary").collect(), key=lambda r: r.doc_id)
     quality = np.array([min(1, max(0, r.quality)) for r in rows])
     if len(set(quality.tolist())) < 2:
         return Field(np.eye(1, N_FEATURES)[0], np.zeros((2, 2)))
     each = [np.frombuffer(r.features, np.uint8).reshape(-1, N_FEATURES) for r in rows]
-    return fit(np.concatenate(each).astype(np.float32), np.array([len(x) for x in each]), quality)
+    features, counts = np.concatenate(each).astype(np.float32), np.array([len(x) for x in each])
+    return fit(features, counts, line_labels(features, counts, quality))
 
 
 def judge(part: pa.RecordBatch, field: Field, share: float) -> dict[str, pa.Array]:
