@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -130,9 +130,9 @@ def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, firsts, ends = [], [], []
-            for rep, a, b, w in zip(batch.column("later").to_pylist(), batch.column("lines_a").to_pylist(), batch.column("lines_b").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                for x, y in common_blocks(a, b, w, least):
-                    reps.append(rep)
+            for rep, *sides in zip(*(batch.column(c) for c in ("later", "lines_a", "lines_b", "words")), strict=True):
+                for x, y in common_blocks(*(np.asarray(side.values).tolist() for side in sides), least):
+                    reps.append(rep.as_py())
                     firsts.append(x)
                     ends.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32())], ["rep", "first", "end"])
@@ -141,31 +141,25 @@ def _align(least: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (row, text, copy, blocks) with what is left of the text, and what went."""
     for batch in batches:
         texts, totals, removed, sums = [], [], [], []
-        for text, whole, blocks in zip(batch.column("text").to_pylist(), batch.column("_copy").to_pylist(), batch.column("_blocks").to_pylist(), strict=True):
+        for text, whole, blocks in zip(*(batch.column(c) for c in ("text", "copy", "blocks")), strict=True):
+            text = text.as_py()
             lines = (text or "").split("\n")
-            gone = np.full(len(lines), bool(whole))
-            for x in blocks or []:
+            gone = np.full(len(lines), bool(whole.as_py()))
+            for x in blocks.as_py() or []:
                 gone[x["first"] : x["end"]] = True
             kept = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g) if gone.any() else text
             texts.append(kept)
             totals.append(len(lines))
             removed.append(int(gone.sum()))
             sums.append(hashlib.sha256((kept or "").encode("utf-8", "replace")).hexdigest())
-        rest = [c for c in batch.schema.names if c not in ("text", "_copy", "_blocks")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], [*rest, "text", "n_lines", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())], ["row", "text", "n_lines", "n_removed", "kept_sha256"])
 
 
-def dedup_lines(documents: DataFrame, least: int = WORDS, rare: int = RARE, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns``, the remaining text, n_lines, n_removed and kept_sha256 of each row of ``documents`` (doc_id, text).
-
-    The later document is that of the larger doc_id (null: last).  Rows that repeat both doc_id
-    and text are one document and get the same result.  A null or empty text has one line, without
-    words, and loses nothing; a text of fewer than ``least`` words is never a copy.  Blocks are
-    judged on the input, not on what other alignments leave.  Input columns that are named as the
-    three added ones give way to these.
-    """
+def _deduped(documents: DataFrame, row: Column, least: int, rare: int) -> DataFrame:
+    """(row, text, n_lines, n_removed, kept_sha256), where ``row`` is carried through as one column, so that no name in it can clash."""
     scratch = Scratch(documents.sparkSession, "lines")
     text = F.col("text").cast("string")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -189,12 +183,36 @@ def dedup_lines(documents: DataFrame, least: int = WORDS, rare: int = RARE, colu
     left = classes.select(F.col("rep").alias("earlier"), F.col("lines").alias("lines_a"))
     right = classes.select(F.col("rep").alias("later"), F.col("lines").alias("lines_b"), "words")
     found = pairs.join(left, "earlier").join(right, "later").mapInArrow(_align(least), "rep long, first int, end int")
-    blocks = found.distinct().groupBy("rep").agg(F.collect_list(F.struct("first", "end")).alias("_blocks"))
-    copies = read.join(classes.select("key", "first_id", "first_hash"), "key").where("not (doc_id <=> first_id and text_hash = first_hash)").select("doc_id", "text_hash", F.lit(True).alias("_copy"), F.lit(None).cast("array<struct<first:int,end:int>>").alias("_blocks"))
-    cut = blocks.join(classes, "rep").select(F.col("first_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), F.lit(False).alias("_copy"), "_blocks")
-    actions = scratch.save(copies.union(cut).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copy", "_blocks"), "actions")
+    blocks = found.distinct().groupBy("rep").agg(F.collect_list(F.struct("first", "end")).alias("blocks"))
+    copies = read.join(classes.select("key", "first_id", "first_hash"), "key").where("not (doc_id <=> first_id and text_hash = first_hash)").select("doc_id", "text_hash", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<first:int,end:int>>").alias("blocks"))
+    cut = blocks.join(classes, "rep").select(F.col("first_id").alias("doc_id"), F.col("first_hash").alias("text_hash"), F.lit(False).alias("copy"), "blocks")
+    actions = scratch.save(copies.union(cut).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("action_id"), F.col("text_hash").alias("action_hash"), "copy", "blocks"), "actions")
     scratch.drop("read", "classes", "seeds", "known", "pairs")
-    rows = documents.select(*[c for c in columns if c not in ("text", "n_lines", "n_removed", "kept_sha256")], text.alias("text"))
-    joined = rows.withColumn("_own", F.xxhash64("text")).join(actions, F.expr("cast(doc_id as long) <=> _id and _own = _hash"), "left").drop("_id", "_hash", "_own")
-    ddl = joined.drop("text", "_copy", "_blocks")._jdf.schema().toDDL()
-    return joined.mapInArrow(_cut, f"{ddl}, text string, n_lines long, n_removed long, kept_sha256 string")
+    rows = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    joined = rows.join(actions, F.expr("id <=> action_id and own = action_hash"), "left").select("row", "text", "copy", "blocks")
+    return joined.mapInArrow(_cut, f"{joined.select('row')._jdf.schema().toDDL()}, text string, n_lines long, n_removed long, kept_sha256 string")
+
+
+def dedup_lines(documents: DataFrame, least: int = WORDS, rare: int = RARE) -> DataFrame:
+    """doc_id, the remaining text, n_lines, n_removed and kept_sha256 of each row of ``documents`` (doc_id, text).
+
+    The later document is that of the larger doc_id (null: last).  Rows that repeat both doc_id
+    and text are one document and get the same result.  A null or empty text has one line, without
+    words, and loses nothing; a text of fewer than ``least`` words is never a copy.  Blocks are
+    judged on the input, not on what other alignments leave.  Other columns are ignored; an empty
+    table gives no rows.
+    """
+    return _deduped(documents, F.col("doc_id").cast("long"), least, rare).withColumnRenamed("row", "doc_id")
+
+
+def drop_lines(documents: DataFrame, least: int = WORDS, rare: int = RARE) -> DataFrame:
+    """The rows of ``documents``, all columns, with the text that ``dedup_lines`` leaves.
+
+    A row of whose words nothing is left goes.  Rows without words in the input stay as they are.
+    A column n_chars, if there is one, gets the length of a changed text.
+    """
+    done = _deduped(documents, F.struct(*[F.col(f"`{c}`") for c in documents.columns]), least, rare)
+    size = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in documents.columns else None
+    new = {"text": F.col("text").cast(documents.schema["text"].dataType)} | ({} if size is None else {"n_chars": size.cast(documents.schema["n_chars"].dataType)})
+    left = done.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[new.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
