@@ -12,7 +12,6 @@ on, and their length is rounded to the same step; the last window ends with the
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -26,10 +25,10 @@ from .textkernel import FOLDED_VALUES, Buffer, document_shingles, pieces, span_h
 
 RADIUS = 15
 BLOCKS = 4
-#: Benchmark items handled in one pass over the documents; more take more passes.
-ITEMS_AT_ONCE = 20_000
+#: Benchmark items handled in one pass over the documents (what a worker holds: about 30 kB each); more take more passes.
+ITEMS_AT_ONCE = 4000
 #: Shingles whose bit sums are held at once.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 15
 _NEAR = np.array([sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(16), k)], np.uint16)
 
 
@@ -40,8 +39,8 @@ def read_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bit_sums(shingles: np.ndarray, longest: int) -> np.ndarray:
-    """Prefix sums of each of the 64 bits.  For stretches of up to 255 shingles sums modulo 256 tell all."""
-    kind = np.uint8 if longest < 256 else np.int32
+    """Prefix sums of each of the 64 bits, modulo a power of two over ``longest``, which tells all of such a stretch."""
+    kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
     bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
     total = np.zeros((len(shingles) + 1, 64), kind)
     np.cumsum(bits, axis=0, dtype=kind, out=total[1:])
@@ -52,10 +51,11 @@ def _fingerprints(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     """A bit is set where more than half of the shingles from start to end have it."""
     out = np.empty(len(starts), np.uint64)
     for a in range(0, len(starts), 1 << 13):
-        ones = total[ends[a : a + (1 << 13)]]
-        ones -= total[starts[a : a + (1 << 13)]]
-        half = ((ends - starts)[a : a + (1 << 13)] // 2).astype(ones.dtype)
-        out[a : a + (1 << 13)] = np.packbits(ones > half[:, None], axis=1).view(np.uint64).ravel()
+        first, after = starts[a : a + (1 << 13)], ends[a : a + (1 << 13)]
+        ones = np.take(total, after, axis=0)
+        ones -= np.take(total, first, axis=0)
+        half = ((after - first) // 2).astype(ones.dtype)
+        out[a : a + (1 << 13)] = np.packbits(ones > half[:, None]).view(np.uint64)
     return out
 
 
@@ -75,26 +75,31 @@ class Index:
     items: np.ndarray
     prints: np.ndarray
     first: list[np.ndarray]
+    present: list[np.ndarray]
     held: list[np.ndarray]
 
     @classmethod
     def of(cls, length: int, step: int, items: list[int], prints: np.ndarray) -> Index:
-        first, held = [], []
+        first, present, held = [], [], []
         for block in prints.view(np.uint16).reshape(-1, BLOCKS).T:
-            values = (block[:, None] ^ _NEAR[None]).ravel()
-            order = np.argsort(values, kind="stable")
-            first.append(np.searchsorted(values[order], np.arange(65537)).astype(np.int64))
-            held.append(np.repeat(np.arange(len(items)), len(_NEAR))[order])
-        return cls(length, step, np.array(items), prints, first, held)
+            near = (block[:, None] ^ _NEAR[None]).ravel()
+            order = np.argsort(near, kind="stable")
+            size = np.bincount(near, minlength=1 << 16)
+            first.append(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            present.append(size > 0)
+            held.append((order // len(_NEAR)).astype(np.int32))
+        return cls(length, step, np.array(items), prints, first, present, held)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) within the radius."""
         windows, items = [], []
-        for k, block in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS).T):
-            size = self.first[k][block.astype(np.int64) + 1] - self.first[k][block]
-            some = np.flatnonzero(size)
-            n = size[some]
-            at = np.repeat(self.first[k][block[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for k, block in enumerate(np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T)):
+            # most blocks are near none: a table of one byte a value tells them
+            some = np.flatnonzero(np.take(self.present[k], block))
+            own = block[some].astype(np.int32)
+            low = self.first[k][own]
+            n = self.first[k][own + 1] - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             window, item = np.repeat(some, n), self.held[k][at]
             close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
             windows.append(window[close])
@@ -103,18 +108,39 @@ class Index:
         return pair // len(self.items), pair % len(self.items)
 
 
-def similarity(own: np.ndarray, item: np.ndarray, weights: Counter) -> tuple[float, int, int]:
-    """Weighted Jaccard similarity of an item and the stretch of ``own`` no longer than it that shares most with it."""
-    there = np.isin(own, item)
-    if not there.any():
-        return 0.0, 0, 0
-    sums = np.concatenate([[0], np.cumsum(there)])
-    most = int(np.argmax(sums[len(item) :] - sums[: -len(item)])) if len(own) > len(item) else 0
-    inside = np.flatnonzero(there[most : most + len(item)])
-    first, last = most + int(inside[0]), most + int(inside[-1]) + 1
-    found = Counter(own[first:last].tolist())
-    shared = sum(min(k, found[x]) for x, k in weights.items() if x in found)
-    return shared / (len(item) + last - first - shared), first, last
+@dataclass
+class Item:
+    """A benchmark item: its id, number of shingles, and distinct ones with their numbers."""
+
+    item_id: int | None
+    length: int
+    values: np.ndarray
+    weights: np.ndarray
+
+    def similarity(self, own: np.ndarray) -> tuple[float, int, int]:
+        """The best weighted Jaccard similarity to a stretch of ``own`` as long as the item, cut to its outermost common shingles."""
+        at = np.searchsorted(self.values, own)
+        at[at == len(self.values)] = 0
+        there = np.flatnonzero(self.values[at] == own)
+        if not len(there):
+            return 0.0, 0, 0
+        # a shingle counts in the stretches that start behind its weight-th occurrence before
+        kind = at[there]
+        by = np.argsort(kind, kind="stable")
+        back = np.arange(len(by)) - self.weights[kind[by]]
+        before = np.full(len(by), -1)
+        same = (back >= 0) & (kind[by[np.maximum(back, 0)]] == kind[by])
+        before[by[same]] = there[by[back[same]]]
+        change = np.zeros(len(own) + 1, np.int64)
+        np.add.at(change, np.maximum(np.maximum(before + 1, there - self.length + 1), 0), 1)
+        np.add.at(change, there + 1, -1)
+        start = np.arange(max(1, len(own) - self.length + 1))
+        shared = np.cumsum(change)[: len(start)]
+        first = there[np.minimum(np.searchsorted(there, start), len(there) - 1)]
+        last = there[np.maximum(np.searchsorted(there, start + self.length) - 1, 0)]
+        alike = np.where(shared > 0, shared / np.maximum(self.length + last - first + 1 - shared, 1), 0.0)
+        best = int(np.argmax(alike))
+        return float(alike[best]), int(first[best]), int(last[best]) + 1
 
 
 def _windows(begin: np.ndarray, end: np.ndarray, index: Index, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,65 +157,112 @@ def _windows(begin: np.ndarray, end: np.ndarray, index: Index, low: int, high: i
     return np.concatenate([doc, some]), np.concatenate([start, last[some]])
 
 
-def _scan(indexes: list[Index], ids: list[int], item_shingles: list[np.ndarray], n: int, least: float):
+def _indexes(items: list[Item], prints: np.ndarray) -> list[Index]:
+    by: dict[tuple[int, int], list[int]] = {}
+    for i, own in enumerate(items):
+        step = _step(own.length)
+        by.setdefault((step * round(own.length / step), step), []).append(i)
+    return [Index.of(length, step, held, prints[held]) for (length, step), held in sorted(by.items())]
+
+
+def _regions(near: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    """Document, item, and bounds of the joined overlapping stretches of each."""
+    rows = np.unique(np.concatenate(near), axis=0) if near else np.zeros((0, 4), np.int64)
+    held: list[int] = []
+    for d, k, a, b in rows.tolist():
+        if held and held[:2] == [d, k] and a <= held[3]:
+            held[3] = max(held[3], b)
+        else:
+            if held:
+                yield tuple(held)
+            held = [d, k, a, b]
+    if held:
+        yield tuple(held)
+
+
+def _found(texts: pa.Array, indexes: list[Index], items: list[Item], n: int, least: float) -> list[list[dict]]:
+    """The hits of each text."""
+    shingles, at = read_shingles(texts, n)
+    begin, end = at[:-1], at[1:]
+    length = np.array([x.length for x in items], np.int64)
+    longest = max((x.length for x in indexes), default=1)
+    near = []
+    for low in range(0, len(shingles), SEGMENT):
+        total = _bit_sums(shingles[low : low + SEGMENT + longest], longest)
+        for index in indexes:
+            doc, start = _windows(begin, end, index, low, low + SEGMENT)
+            stop = np.minimum(start + index.length, end[doc])
+            window, item = index.near(_fingerprints(total, start - low, stop - low))
+            k, d = index.items[item], doc[window]
+            near.append(np.stack([d, k, np.maximum(begin[d], start[window] - length[k] // 2), np.minimum(end[d], stop[window] + length[k] // 2)], 1))
+    best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(texts))]
+    for d, k, a, b in _regions(near):
+        same, first, last = items[k].similarity(shingles[a:b])
+        if same >= least and same > best[d].get(k, (0.0,))[0]:
+            best[d][k] = (same, a - int(begin[d]) + first, a - int(begin[d]) + last + n - 1)
+    return [[{"item_id": items[k].item_id, "similarity": x[0], "first_word": x[1], "end_word": x[2]} for k, x in sorted(b.items())] for b in best]
+
+
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+
+
+def _scan(items: list[Item], prints: np.ndarray, n: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = max((x.length for x in indexes), default=1)
-        weights = [Counter(x.tolist()) for x in item_shingles]
+        indexes = _indexes(items, prints)
         for part in pieces(batches, limit=1 << 20):
-            shingles, at = read_shingles(part.column("text"), n)
-            begin, end = at[:-1], at[1:]
-            best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(part.num_rows)]
-            for low in range(0, len(shingles), SEGMENT):
-                total = _bit_sums(shingles[low : low + SEGMENT + longest], longest)
-                for index in indexes:
-                    doc, start = _windows(begin, end, index, low, low + SEGMENT)
-                    stop = np.minimum(start + index.length, end[doc])
-                    for a in range(0, len(doc), 1 << 16):
-                        own = slice(a, a + (1 << 16))
-                        window, item = index.near(_fingerprints(total, start[own] - low, stop[own] - low))
-                        for w, k in zip(window.tolist(), index.items[item].tolist(), strict=True):
-                            d, size = int(doc[a + w]), len(item_shingles[k])
-                            a1, b1 = max(int(begin[d]), int(start[a + w]) - size // 2), min(int(end[d]), int(stop[a + w]) + size // 2)
-                            same, first, last = similarity(shingles[a1:b1], item_shingles[k], weights[k])
-                            if same >= least and same > best[d].get(k, (0.0,))[0]:
-                                best[d][k] = (same, a1 - int(begin[d]) + first, a1 - int(begin[d]) + last + n - 1)
-            hits = [[{"item_id": ids[k], "similarity": x[0], "first_word": x[1], "end_word": x[2]} for k, x in sorted(b.items())] for b in best]
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(hits, kind)], [*part.schema.names, "hits"])
+            hits = _found(part.column("text"), indexes, items, n, least)
+            hits = [a + b for a, b in zip(part.column("hits").to_pylist(), hits, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(hits, _KIND)], ["doc_id", "text", "hits"])
 
     return run
 
 
-HITS = "hits array<struct<item_id: bigint, similarity: double, first_word: bigint, end_word: bigint>>"
+def _clean(items: list[Item], prints: np.ndarray, n: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = _indexes(items, prints)
+        for part in pieces(batches, limit=1 << 20):
+            yield part.filter(pa.array([not x for x in _found(part.column("text").cast(pa.string()), indexes, items, n, least)], pa.bool_()))
+
+    return run
 
 
-def _indexes(items: list, n: int) -> tuple[list[Index], list[int], list[np.ndarray]]:
-    items = sorted((r for r in items if (r.text or "").split()), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-    shingles, at = read_shingles(pa.array([r.text for r in items], pa.string()), n)
-    each = [shingles[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    prints = _fingerprints(_bit_sums(shingles, len(shingles)), at[:-1], at[1:]) if items else np.zeros(0, np.uint64)
-    by: dict[tuple[int, int], list[int]] = {}
-    for i, own in enumerate(each):
-        step = _step(len(own))
-        by.setdefault((step * round(len(own) / step), step), []).append(i)
-    return [Index.of(length, step, held, prints[held]) for (length, step), held in sorted(by.items())], [r.item_id for r in items], each
+HITS = "array<struct<item_id: bigint, similarity: double, first_word: bigint, end_word: bigint>>"
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` and the text of each row of ``documents``, with ``hits``: the items (item_id, text) it holds.
+def read_items(rows: list, n: int) -> tuple[list[Item], np.ndarray]:
+    """Items and fingerprints of benchmark rows (item_id, text); those without words are left out."""
+    texts = pa.array([r.text for r in rows], pa.string())
+    shingles, at = read_shingles(texts, n)
+    some = np.flatnonzero(np.diff(at))
+    order = sorted(some.tolist(), key=lambda i: (rows[i].item_id is None, rows[i].item_id or 0, rows[i].text))
+    items = [Item(rows[i].item_id, int(at[i + 1] - at[i]), *np.unique(shingles[at[i] : at[i + 1]], return_counts=True)) for i in order]
+    return items, _fingerprints(_bit_sums(shingles, len(shingles)), at[:-1][order], at[1:][order]) if order else np.zeros(0, np.uint64)
+
+
+def _passes(benchmark: DataFrame, n: int) -> Iterator[tuple[list[Item], np.ndarray]]:
+    """The items in parts of about ``ITEMS_AT_ONCE``, what one pass over the documents holds."""
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    parts = max(1, -(-known.count() // ITEMS_AT_ONCE))
+    for i in range(parts):
+        yield read_items(known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect(), n)
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, text and ``hits`` of each row of ``documents`` (doc_id, text): the items (item_id, text) that it holds.
 
     A hit is an item whose weighted word shingles are similar by ``least`` or more to a stretch of
     the document; A-Z count as a-z.  Null or empty texts have no hits, and such items are in
-    nothing; items of the same text are separate.  An input column named hits
-    gives way.  An empty benchmark gives empty lists.
+    nothing; items of the same text are separate, repeated documents are searched each.  Other
+    columns of both tables are ignored.  An empty benchmark gives empty lists, an empty table no rows.
     """
-    kept = documents.select(*[c for c in columns if c not in ("text", "hits")], F.col("text").cast("string").alias("text"))
-    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-known.count() // ITEMS_AT_ONCE))
-    found = kept.withColumn("_hits", F.expr("cast(array() as " + HITS.removeprefix("hits ") + ")"))
-    for i in range(passes):
-        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).collect()
-        ddl = found._jdf.schema().toDDL()
-        found = found.mapInArrow(_scan(*_indexes(rows, words), words, least), f"{ddl}, {HITS}")
-        found = found.withColumn("_hits", F.concat("_hits", "hits")).drop("hits")
-    return found.withColumnRenamed("_hits", "hits")
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(f"cast(array() as {HITS})").alias("hits"))
+    for items, prints in _passes(benchmark, words):
+        found = found.mapInArrow(_scan(items, prints, words, least), f"doc_id long, text string, hits {HITS}")
+    return found
+
+
+def drop_leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``documents``, all columns whatever their names, for which ``leaks`` has no hit (so those without text stay)."""
+    for items, prints in _passes(benchmark, words):
+        documents = documents.mapInArrow(_clean(items, prints, words, least), documents.schema)
+    return documents
