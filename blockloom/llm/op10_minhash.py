@@ -154,12 +154,13 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _difference_lists(exact: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(value, rep, n, unique, size): the prefix filter on each set's difference to its lists' pivots.
+    """(value, rep, n, unique, size, place): the prefix filter on each set's difference to its lists' pivots.
 
     If A and B are similar and A is not similar to a set P, then A and B share an element of their
     symmetric differences to P (else these would add up to more than similar sets may differ in).
     The difference of A and B is that of their differences, so two of these must meet among their
-    d + 1 rarest elements, where d is what sets similar to A may differ from it in.
+    d + 1 rarest elements, where d is what sets similar to A may differ from it in.  ``place`` counts
+    the difference's elements that are rarer still than the value, for ``_differ``.
     """
     pivots = exact.groupBy("value").agg(F.min(F.struct("unique", "rep")).alias("p")).select("value", F.col("p.rep").alias("u"))
     held = lambda at, name: sets.select(F.col("rep").alias(at), F.col("full").alias(name))
@@ -169,8 +170,8 @@ def _difference_lists(exact: DataFrame, sets: DataFrame, percent: int) -> DataFr
     ranked = rows.join(df, ["u", "value"]).groupBy("u", "rep", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     room = F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1 - F.col("unique")
     entered = ranked.withColumn("unique", F.col("size") - F.size("common")).withColumn("room", room).where("room > 0")
-    listed = entered.select("u", "rep", "n", "unique", "size", F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x"))
-    return listed.select(F.xxhash64("u", "x.value").alias("value"), "rep", "n", "unique", "size").distinct()
+    listed = entered.select("u", "rep", "n", "unique", "size", F.posexplode(F.slice("common", F.lit(1), F.col("room"))).alias("at", "x"))
+    return listed.select(F.xxhash64("u", "x.value").alias("value"), "rep", "n", "unique", "size", (F.col("unique") + F.col("at")).alias("place")).distinct()
 
 
 def _alike(percent: int, n: str, m: str) -> str:
@@ -183,6 +184,19 @@ def _fewer(lists: DataFrame, percent: int) -> str:
     return " and ".join(f"{percent} * ({x}) <= {100 - percent} * least(n, n_u)" for x in sums) or "true"
 
 
+def _differ(lists: DataFrame, percent: int) -> str:
+    """Whether a value can be the rarest that two differences share.
+
+    Similar sets A and B differ in d elements at most, so their differences to the same set share
+    (|A| + |B| - d) / 2 or more, all of them from the rarest one on; no more than what is left of
+    either from there can be shared.
+    """
+    if "place" not in lists.columns:
+        return "true"
+    d = f"least({100 - percent} * (n + n_u) / {100 + percent}, {100 - percent} * least(n, n_u) / {percent})"
+    return f"2 * least(size - place, size_u - place_u) >= size + size_u - {d} - 0.001"
+
+
 def _to_pivots(lists: DataFrame, order: tuple[str, ...], percent: int) -> DataFrame:
     """Each list's members with its first one in the given order: as many pairs as members."""
     held = [c for c in ("n", "unique") if c in lists.columns]
@@ -204,10 +218,10 @@ def _open(member: DataFrame) -> DataFrame:
 
 def _across(open_: DataFrame, percent: int) -> DataFrame:
     """Pairs of list members of different components: all outside the main component with all others."""
-    held = [c for c in ("n", "unique", "size") if c in open_.columns]
+    held = [c for c in ("n", "unique", "size", "place") if c in open_.columns]
     minor = open_.where("root <> main").select("value", F.col("rep").alias("u"), F.col("root").alias("root_u"), *[F.col(c).alias(f"{c}_u") for c in held])
     met = open_.join(minor, "value").where("root_u <> root and (root = main or u < rep)")
-    return met.where(_alike(percent, "n", "n_u")).where(_fewer(open_, percent)).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
+    return met.where(_alike(percent, "n", "n_u")).where(_fewer(open_, percent)).where(_differ(open_, percent)).select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
 
 
 def resolve(documents: DataFrame, percent: int = 85, words: int = 5, k: int = SKETCH, block: int = 32) -> DataFrame:
@@ -270,9 +284,18 @@ def near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, k:
 
 
 def drop_near_duplicates(documents: DataFrame, percent: int = 85, words: int = 5, k: int = SKETCH) -> DataFrame:
-    """The rows of ``documents``, all columns, without all but one of each group of near duplicates; texts without words stay."""
-    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    """The rows of ``documents``, all columns, without all but one of each group of near duplicates; texts without words stay.
+
+    The one is the first by doc_id (null: last); of rows that repeat its doc_id and text that of
+    the least other columns, written as JSON, stays.  An empty table gives no rows.
+    """
     stays = resolve(documents, percent, words, k).where("stays and n_shingles > 0").select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"))
-    hashed = documents.where(wordy).withColumn("s_hash0", F.xxhash64("text"))
-    kept = hashed.join(stays, F.expr("cast(doc_id as long) <=> s_id and s_hash0 = s_hash"), "left_semi").dropDuplicates(["doc_id", "s_hash0"]).drop("s_hash0")
-    return kept.unionByName(documents.where(~wordy))
+    # the rows as one column, so that no name in them can clash
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    keyed = rows.select("row", F.col("row")["doc_id"].cast("long").alias("id"), F.col("row")["text"].cast("string").alias("text"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = keyed.where(wordy).select("row", "id", F.xxhash64("text").alias("hash"))
+    kept = hashed.join(stays, F.expr("id <=> s_id and hash = s_hash"), "left_semi")
+    rest = F.struct(F.lit(0), *[F.col("row")[c] for c in documents.columns if c != "text"])
+    one = kept.groupBy("id", "hash").agg(F.min_by("row", F.to_json(rest)).alias("row")).select("row")
+    return one.union(keyed.where(~wordy).select("row")).select("row.*")
