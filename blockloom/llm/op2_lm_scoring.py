@@ -154,7 +154,7 @@ def _pairs(held):
             doc, pair = tokens.doc[by], pair[by]
             first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))[: len(doc)])
             own = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(own) for c in ("doc_id", "text_hash", "target")), pa.array(pair[first]), pa.array(np.diff(np.append(first, len(doc))))], ["doc_id", "text_hash", "target", "pair", "n"])
+            yield pa.RecordBatch.from_arrays([part.column("row").take(own), part.column("target").take(own), pa.array(pair[first]), pa.array(np.diff(np.append(first, len(doc))), pa.int32())], ["row", "target", "pair", "n"])
 
     return run
 
@@ -163,7 +163,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
         buffer = Buffer(part.column("text"))
         count = np.diff(buffer.split(buffer.words()[0]))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(count, pa.int64())], ["doc_id", "text_hash", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(count, pa.int64())], ["row", "doc_id", "n_tokens"])
 
 
 def score(documents: DataFrame, target: DataFrame, most: int = MOST) -> DataFrame:
@@ -178,9 +178,9 @@ def score(documents: DataFrame, target: DataFrame, most: int = MOST) -> DataFram
     scratch = Scratch(spark, "lm")
     good = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     text = F.col("text").cast("string")
-    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # merged by sorted keys whatever the lists' size, so that a step costs the same a byte everywhere
-    rows = scratch.save(plain.join(good.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False))), "rows")
+    rows = scratch.save(plain.join(good.hint("merge"), "doc_id", "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), "rows")
     held = vocabulary(rows, scratch, most)
     shared = spark.sparkContext.broadcast(held)
     known = rows.select("text", "target").mapInArrow(_counts(shared), "pair long, n long, target_n long").groupBy("pair").agg(F.sum("n").alias("all_n"), F.sum("target_n").alias("target_n")).where("all_n > 1")
@@ -189,13 +189,13 @@ def score(documents: DataFrame, target: DataFrame, most: int = MOST) -> DataFram
     # MOST + 2 rows at most
     prior = F.broadcast(table.select(F.col("id").alias("w"), "target_prior", "all_prior"))
     context = F.broadcast(table.select(F.col("id").alias("v"), "target_context", "all_context"))
-    own = rows.mapInArrow(_pairs(shared), "doc_id long, text_hash long, target boolean, pair long, n long")
+    own = rows.select("row", "text", "target").mapInArrow(_pairs(shared), "row long, target boolean, pair long, n int")
     found = own.join(known.hint("merge"), "pair", "left").withColumn("v", F.expr(f"pair div {held.size}")).withColumn("w", F.expr(f"pair % {held.size}")).join(prior, "w").join(context, "v")
     loss = lambda count, model: F.sum(-F.log((count + F.col(f"{model}_prior")) / F.col(f"{model}_context")) * F.col("n"))
     seen = F.coalesce("target_n", F.col("target").cast("long"))
-    sums = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.sum("n").alias("k"), loss(seen, "target").alias("target_sum"), loss(F.coalesce("all_n", F.lit(1)) * held.scale(), "all").alias("all_sum"))
+    sums = found.groupBy("row").agg(F.sum("n").alias("k"), loss(seen, "target").alias("target_sum"), loss(F.coalesce("all_n", F.lit(1)) * held.scale(), "all").alias("all_sum"))
     sums = scratch.save(sums, "sums")
     scratch.drop("words", "pairs")
     mean: dict[str, Column] = {c: F.col(f"{c}_sum") / F.col("k") for c in ("target", "all")}
-    sized = rows.select("doc_id", "text_hash", "text").mapInArrow(_sizes, "doc_id long, text_hash long, n_tokens long")
-    return sized.join(sums.hint("merge"), F.expr("doc_id <=> d and text_hash = t"), "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["all"].alias("background_loss"), (mean["all"] - mean["target"]).alias("score"))
+    sized = rows.select("row", "doc_id", "text").mapInArrow(_sizes, "row long, doc_id long, n_tokens long")
+    return sized.join(sums.hint("merge"), "row", "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["all"].alias("background_loss"), (mean["all"] - mean["target"]).alias("score"))

@@ -42,7 +42,7 @@ class Scratch:
         held = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         finally:
             self.spark.conf.set(_CLEANUP, held)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
