@@ -13,7 +13,7 @@ from ..operators import pixels, surfaces
 from ..session import ship
 from ..sources import dds
 from ..streaming import pool
-from . import board, residency, views
+from . import board, residency, runs, views
 
 FLAGSHIP = "mip_box_filter"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,8 +311,9 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT arm, COUNT(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99, MAX(ms) AS worst, COUNT(*) FILTER (WHERE ms > 1.0) AS hitches FROM {_FRAMES_SQL} GROUP BY arm")
 def frame_percentiles_nearest_rank(spark, sf_dir):
-    parts = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    return _frames(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n"), *[board.nearest_rank("ms", p).alias(n) for n, p in parts.items()], F.max("ms").alias("worst"), F.count_if(F.col("ms") > 1.0).alias("hitches"))
+    frames = _frames(spark, sf_dir)
+    ranks = runs.percentiles(frames, ["arm"], "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return frames.groupBy("arm").agg(F.count("*").alias("n"), F.max("ms").alias("worst"), F.count_if(F.col("ms") > 1.0).alias("hitches")).join(ranks, "arm")
 
 
 @_query("""WITH r AS (SELECT user_id % 2 AS arm, user_id % 10 // 2 AS rep, quantile_disc(value, 0.5) AS med FROM events GROUP BY 1, 2), s AS (SELECT arm, quantile_disc(med, 0.5) AS med, CASE WHEN MIN(med) > 0 THEN MAX(med) / MIN(med) - 1 END AS spread FROM r GROUP BY arm)

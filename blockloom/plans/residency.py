@@ -20,11 +20,14 @@ def requests(world: DataFrame, cameras: DataFrame, bias: float = 0.0) -> DataFra
 
     The distance join is an equality join on grid cells of the cull distance (each camera reaches
     nine of them), then the exact test, so it does not compare all textures with all frames.
+    Heights (y, cam_y) count where both tables have them.
     """
     near = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long")))
-    eyes = cells(cameras.select("frame", F.col("cam_x").alias("x"), F.col("cam_z").alias("z"))).withColumn("dx", near).withColumn("dz", near)
-    eyes = eyes.select("frame", F.col("x").alias("cam_x"), F.col("z").alias("cam_z"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cz") + F.col("dz")).alias("cz"))
+    tall = "y" in world.columns and "cam_y" in cameras.columns
+    eyes = cells(cameras.select("frame", F.col("cam_x").alias("x"), F.col("cam_z").alias("z"), (F.col("cam_y") if tall else F.lit(0)).alias("cam_y"))).withColumn("dx", near).withColumn("dz", near)
+    eyes = eyes.select("frame", F.col("x").alias("cam_x"), F.col("z").alias("cam_z"), "cam_y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cz") + F.col("dz")).alias("cz"))
     squared = (F.col("x") - F.col("cam_x")) * (F.col("x") - F.col("cam_x")) + (F.col("z") - F.col("cam_z")) * (F.col("z") - F.col("cam_z"))
+    squared = squared + (F.col("y") - F.col("cam_y")) * (F.col("y") - F.col("cam_y")) if tall else squared
     seen = cells(world).join(eyes, ["cx", "cz"]).withColumn("d2", squared).where(F.col("d2") <= CULL * CULL)
     top = F.least(F.round(F.greatest(F.log2(F.greatest(F.sqrt("d2") / NEAR, F.lit(1.0))) + bias, F.lit(0.0))).cast("long"), F.col("mips") - 1)
     return seen.where("mips > 0").select("frame", "tex", F.explode(F.sequence(top, F.col("mips") - 1)).alias("mip"))
