@@ -229,20 +229,96 @@ def decode_bc6h_single(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 DECODERS = {"bc1": (8, decode_bc1), "bc2": (16, decode_bc2), "bc3": (16, decode_bc3), "bc4u": (8, decode_bc4), "bc4s": (8, lambda b: decode_bc4(b, True)), "bc5u": (16, decode_bc5), "bc5s": (16, lambda b: decode_bc5(b, True)), "bc7": (16, decode_bc7)}
 
 
+#: Blocks that one call of a kernel decodes.
+AT_ONCE = 1 << 14
+
+
+def slice_bytes(content: str, width: int, height: int) -> int:
+    if content in ("rgba8", "bgra8"):
+        return 4 * width * height
+    return (width + 3) // 4 * ((height + 3) // 4) * (16 if content.startswith("bc6h") else DECODERS[content][0])
+
+
+def decode_many(content: str, slices: list[tuple[bytes, int, int]]) -> list[tuple[bytes | None, str | None]]:
+    """RGBA bytes of each slice (payload, width, height) of one class, or the name of what is wrong with it; the kernel sees the blocks of all of them together."""
+    out: list[tuple[bytes | None, str | None]] = [(None, "UnsupportedFormat")] * len(slices)
+    if content not in DECODERS and content not in ("rgba8", "bgra8"):
+        return [(None, "InvalidField") if min(w, h) <= 0 else x for x, (_, w, h) in zip(out, slices, strict=True)]
+    good = []
+    for i, (payload, w, h) in enumerate(slices):
+        error = "InvalidField" if min(w, h) <= 0 else "TruncatedData" if len(payload) < slice_bytes(content, w, h) else None
+        out[i] = (None, error)
+        if error is None:
+            good.append(i)
+    if content in ("rgba8", "bgra8"):
+        for i in good:
+            payload, w, h = slices[i]
+            px = np.frombuffer(payload, np.uint8, 4 * w * h).reshape(-1, 4)
+            out[i] = ((px if content == "rgba8" else px[:, [2, 1, 0, 3]]).tobytes(), None)
+        return out
+    size, kernel = DECODERS[content]
+    at = 0
+    while at < len(good):
+        # as many slices as fill a call; a larger slice goes in parts
+        some, n = [], 0
+        while at < len(good) and (not some or n + slice_bytes(content, *slices[good[at]][1:]) // size <= AT_ONCE):
+            some.append(good[at])
+            n += slice_bytes(content, *slices[good[at]][1:]) // size
+            at += 1
+        joined = np.concatenate([np.frombuffer(slices[i][0], np.uint8, slice_bytes(content, *slices[i][1:])).reshape(-1, size) for i in some])
+        px = np.concatenate([kernel(joined[a : a + AT_ONCE]) for a in range(0, len(joined), AT_ONCE)])
+        first = 0
+        for i in some:
+            _, w, h = slices[i]
+            bx, by = (w + 3) // 4, (h + 3) // 4
+            own = px[first : first + bx * by]
+            first += bx * by
+            out[i] = (own.reshape(by, bx, 4, 4, 4).swapaxes(1, 2).reshape(4 * by, 4 * bx, 4)[:h, :w].tobytes(), None)
+    return out
+
+
 def decode_surface(content: str, payload: bytes, width: int, height: int) -> tuple[bytes | None, str | None]:
-    """RGBA bytes of one slice, or the name of what is wrong with it."""
-    if width <= 0 or height <= 0:
+    """``decode_many`` of one slice."""
+    return decode_many(content, [(payload, width, height)])[0]
+
+
+def decode_volume(content: str, payload: bytes, width: int, height: int, depth: int) -> tuple[bytes | None, str | None]:
+    """The slices of a volume, one behind the other."""
+    if min(width, height, depth) <= 0:
         return None, "InvalidField"
-    if content in ("rgba8", "bgra8"):
-        if len(payload) < 4 * width * height:
-            return None, "TruncatedData"
-        px = np.frombuffer(payload, np.uint8, 4 * width * height).reshape(-1, 4)
-        return (px if content == "rgba8" else px[:, [2, 1, 0, 3]]).tobytes(), None
-    if content not in DECODERS:
+    if content not in DECODERS and content not in ("rgba8", "bgra8"):
         return None, "UnsupportedFormat"
-    size, kernel = DECODERS[content]
+    size = slice_bytes(content, width, height)
+    done = decode_many(content, [(payload[z * size : (z + 1) * size], width, height) for z in range(depth)])
+    return next(((None, e) for _, e in done if e), (b"".join(x for x, _ in done if x is not None), None))
+
+
+def block_height(content: str) -> int:
+    return 1 if content in ("rgba8", "bgra8") else 4
+
+
+def decode_block_rows(content: str, payload: bytes, width: int, height: int, first: int, end: int) -> tuple[bytes | None, str | None]:
+    """The pixel rows of the block rows from ``first`` to before ``end`` of one slice."""
+    if content not in DECODERS and content not in ("rgba8", "bgra8"):
+        return None, "UnsupportedFormat"
+    tall = block_height(content)
+    if first < 0 or first > end or end > -(-height // tall):
+        return None, "OutOfBounds"
+    low, high = first * tall, min(end * tall, height)
+    if low >= high:
+        return b"", None
+    row = slice_bytes(content, width, tall)
+    return decode_surface(content, payload[first * row : end * row], width, high - low)
+
+
+def decode_float(signed: bool, payload: bytes, width: int, height: int, depth: int = 1) -> tuple[bytes | None, str | None]:
+    """Little-endian RGBA floats of unsigned HDR blocks of the one-subset mode; other modes and signed blocks are not supported."""
+    if min(width, height, depth) <= 0:
+        return None, "InvalidField"
     bx, by = (width + 3) // 4, (height + 3) // 4
-    if len(payload) < bx * by * size:
+    if len(payload) < 16 * bx * by * depth:
         return None, "TruncatedData"
-    px = kernel(np.frombuffer(payload, np.uint8, bx * by * size).reshape(-1, size))
-    return px.reshape(by, bx, 4, 4, 4).swapaxes(1, 2).reshape(4 * by, 4 * bx, 4)[:height, :width].tobytes(), None
+    px, own = decode_bc6h_single(np.frombuffer(payload, np.uint8, 16 * bx * by * depth).reshape(-1, 16))
+    if signed or not own.all():
+        return None, "UnsupportedFormat"
+    return px.reshape(depth, by, bx, 4, 4, 4).swapaxes(2, 3).reshape(depth, 4 * by, 4 * bx, 4)[:, :height, :width].tobytes(), None

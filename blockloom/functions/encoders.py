@@ -2,16 +2,15 @@
 
 Colour ends come from two seeds, the first darkest and brightest pixel by 2r + 3g + b and the
 channels' extremes; the one with the smaller error wins, the first on a tie, and its ends are refined
-by least squares and by single steps while the error falls.  Single channels take
-the better of the six- and the four-step palette between their extremes.
+by least squares and by single steps while the error falls.  Single channels are searched in ``alpha``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from . import alpha
 from .bc7 import encode_mode6
-from .palette import W4, W6
 
 
 def to565(c: np.ndarray) -> np.ndarray:
@@ -106,26 +105,13 @@ def _nearest565(c: np.ndarray) -> np.ndarray:
     return (q[:, 0] << 11) | (q[:, 1] << 5) | q[:, 2]
 
 
-def _pack_ramp(e0: np.ndarray, e1: np.ndarray, entries: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = (values[:, :, None] - entries[:, None]) ** 2
-    index = d.argmin(2)
-    word = (index.astype(np.int64) << (3 * np.arange(16))).sum(1)
-    return np.concatenate([_words(e0 & 255, 1), _words(e1 & 255, 1), _words(word, 6)], 1), np.take_along_axis(d, index[:, :, None], 2)[:, :, 0].sum(1)
+def encode_bc4(values: np.ndarray, signed: bool = False, plain: bool = False) -> np.ndarray:
+    """Blocks of (n, 16) values."""
+    return alpha.encode(values, signed, plain)
 
 
-def encode_bc4(values: np.ndarray) -> np.ndarray:
-    """Unsigned blocks of (n, 16) values."""
-    v = values.astype(np.int64)
-    high, low = v.max(1), v.min(1)
-    mix = lambda a, b, ws: [a + ((w * (b - a) + 32768) >> 16) for w in ws]
-    six, six_error = _pack_ramp(high, low, np.stack([high, low, *mix(high, low, W6)], 1), v)
-    # the four-step palette has both extremes for free, so its ends span what lies between them
-    inner_low, inner_high = np.where(v == 0, 255, v).min(1), np.where(v == 255, 0, v).max(1)
-    a, b = np.minimum(inner_low, inner_high), np.maximum(inner_low, inner_high)
-    flat = np.zeros_like(a)
-    four, four_error = _pack_ramp(a, b, np.stack([a, b, *mix(a, b, W4), flat, flat + 255], 1), v)
-    use = (four_error < six_error) | (high == low)
-    return np.where(use[:, None], four, six)
+def _bc5(px: np.ndarray, signed: bool = False, plain: bool = False) -> np.ndarray:
+    return np.concatenate([encode_bc4(px[:, :, c], signed, plain) for c in (0, 1)], 1)
 
 
 def encode_bc2(px: np.ndarray) -> np.ndarray:
@@ -133,7 +119,22 @@ def encode_bc2(px: np.ndarray) -> np.ndarray:
     return np.concatenate([(alpha[:, :, 0] | alpha[:, :, 1] << 4).astype(np.uint8), encode_bc1(px)], 1)
 
 
-ENCODERS = {"bc1": encode_bc1, "bc2": encode_bc2, "bc3": lambda px: np.concatenate([encode_bc4(px[:, :, 3]), encode_bc1(px)], 1), "bc4u": lambda px: encode_bc4(px[:, :, 0]), "bc5u": lambda px: np.concatenate([encode_bc4(px[:, :, 0]), encode_bc4(px[:, :, 1])], 1), "bc7": encode_mode6}
+ENCODERS = {
+    "bc1": encode_bc1, "bc2": encode_bc2, "bc3": lambda px: np.concatenate([encode_bc4(px[:, :, 3]), encode_bc1(px)], 1), "bc4u": lambda px: encode_bc4(px[:, :, 0]), "bc4s": lambda px: encode_bc4(px[:, :, 0], True), "bc5u": _bc5, "bc5s": lambda px: _bc5(px, True), "bc7": encode_mode6,
+}
+#: Channels whose span over the whole surface decides whether the search would pay.
+FLAT = {"bc4u": (0,), "bc4s": (0,), "bc5u": (0, 1), "bc5s": (0, 1)}
+
+
+def encode_blocks(content: str, image: np.ndarray) -> bytes:
+    """The blocks of one (h, w, 4) level; a nearly flat one takes its extremes without a search."""
+    if content in ("rgba8", "bgra8"):
+        return (image if content == "rgba8" else image[:, :, [2, 1, 0, 3]]).tobytes()
+    px = to_blocks(image)
+    held = [image[:, :, c] for c in FLAT.get(content, ())]
+    if held and all(int(x.max()) - int(x.min()) <= 2 for x in held):
+        return np.concatenate([encode_bc4(px[:, :, c], content.endswith("s"), True) for c in FLAT[content]], 1).tobytes()
+    return ENCODERS[content](px).tobytes()
 
 
 def to_blocks(image: np.ndarray) -> np.ndarray:
@@ -144,24 +145,48 @@ def to_blocks(image: np.ndarray) -> np.ndarray:
 
 
 def halve(image: np.ndarray) -> np.ndarray:
-    """The next mip of (h, w, 4): rounded means of 2x2 boxes, an odd last line dropped unless it is the only one."""
-    h, w = image.shape[:2]
-    ys, xs = ((np.arange(max(1, n // 2)) * 2)[:, None] + np.arange(min(n, 2)) for n in (h, w))
-    box = image[ys[:, :, None, None], xs[None, None]].astype(np.int64)
-    n = box.shape[1] * box.shape[3]
-    return ((box.sum((1, 3)) + n // 2) // n).astype(np.uint8)
+    """The next mip of (h, w, 4) or (d, h, w, 4): rounded means of boxes two wide, an odd last line dropped unless it is the only one."""
+    if image.ndim == 3:
+        return halve(image[None])[0]
+    zs, ys, xs = ((np.arange(max(1, n // 2)) * 2)[:, None] + np.arange(min(n, 2)) for n in image.shape[:3])
+    box = image[zs[:, :, None, None, None, None], ys[None, None, :, :, None, None], xs[None, None, None, None]].astype(np.int64)
+    n = box.shape[1] * box.shape[3] * box.shape[5]
+    return ((box.sum((1, 3, 5)) + n // 2) // n).astype(np.uint8)
+
+
+def encode_surface(content: str, rgba: bytes, width: int, height: int, mips: int = 1, depth: int = 1) -> tuple[bytes | None, str | None]:
+    """All levels of one image or volume, largest first, or the name of what is wrong."""
+    if min(width, height, mips, depth) <= 0:
+        return None, "InvalidField"
+    if len(rgba) != 4 * width * height * depth:
+        return None, "TruncatedData"
+    if content not in ENCODERS and content not in ("rgba8", "bgra8"):
+        return None, "UnsupportedFormat"
+    image, out = np.frombuffer(rgba, np.uint8).reshape(depth, height, width, 4), []
+    for level in range(mips):
+        out += [encode_blocks(content, x) for x in image]
+        image = halve(image) if level + 1 < mips else image
+    return b"".join(out), None
 
 
-def encode_surface(content: str, rgba: bytes, width: int, height: int, mips: int = 1) -> tuple[bytes | None, str | None]:
-    """All levels of one image, largest first, or the name of what is wrong."""
-    if width <= 0 or height <= 0 or mips <= 0:
+def encode_slices(content: str, rgba: bytes, width: int, height: int, depth: int, mips: int, slices: int) -> tuple[bytes | None, str | None]:
+    """A container's payload: each slice's levels, every level in the room that the container counts for it."""
+    if min(width, height, depth, mips, slices) <= 0 or depth > 1 and slices > 1:
         return None, "InvalidField"
-    if len(rgba) != 4 * width * height:
-        return None, "TruncatedData"
     if content not in ENCODERS and content not in ("rgba8", "bgra8"):
         return None, "UnsupportedFormat"
-    image, out = np.frombuffer(rgba, np.uint8).reshape(height, width, 4), []
-    for _ in range(mips):
-        out.append((image if content == "rgba8" else image[:, :, [2, 1, 0, 3]]).tobytes() if content in ("rgba8", "bgra8") else ENCODERS[content](to_blocks(image)).tobytes())
-        image = halve(image)
+    size = 4 * width * height * depth
+    if len(rgba) < size * slices:
+        return None, "TruncatedData"
+    least = 4 if content in ("rgba8", "bgra8") else 8 if content in ("bc1", "bc4u", "bc4s") else 16
+    out = []
+    for s in range(slices):
+        image = np.frombuffer(rgba, np.uint8, size, s * size).reshape(depth, height, width, 4)
+        room = least * depth * (width * height if least == 4 else (width + 3) // 4 * ((height + 3) // 4))
+        for level in range(mips):
+            data = b"".join(encode_blocks(content, x) for x in image)
+            if len(data) > room:
+                return None, "TruncatedData"
+            out.append(data.ljust(room, b"\0"))
+            image, room = halve(image) if level + 1 < mips else image, max(room // 4, least)
     return b"".join(out), None

@@ -40,16 +40,18 @@ def upload_plan(levels: DataFrame) -> DataFrame:
     return levels.withColumns({"bytes_per_row": row, "rows_per_image": rows, "decoded_bytes": F.col("mip_width") * F.col("mip_height") * 4, "needed": payload_bytes("mip_width", "mip_height", "block_bytes")})
 
 
-def subresources(textures: DataFrame, most: int = 4096) -> DataFrame:
+def subresources(textures: DataFrame) -> DataFrame:
     """One row for each layer, face and level of each texture (width, height, mips, size0, least, layers, faces, payload_bytes).
 
     ``offset`` counts whole chains before the level's own; a range past the payload's end has the
-    error TruncatedData.  A header may claim any number of layers: ``most`` slices are listed, and
-    a texture that claims more says so in ``claimed``.
+    error TruncatedData.  A header may claim up to 2**32 slices, so they are listed in two steps,
+    no row holding more than a few thousand of them at once.
     """
     slices = F.col("layers") * F.col("faces")
     listed = textures.where(slices > 0).withColumns({"stride": array_stride(), "claimed": slices})
-    rows = listed.withColumn("physical_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.least(slices, F.lit(most)) - 1)))
+    parts = listed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), div(F.col("claimed") - 1, 1 << 12))))
+    first = F.col("part") * (1 << 12)
+    rows = parts.withColumn("physical_slice", F.explode(F.sequence(first, F.least(first + (1 << 12), F.col("claimed")) - 1))).drop("part")
     levels = mip_chain(rows)
     at = F.col("physical_slice") * F.col("stride") + F.col("offset")
     out = levels.withColumns({"layer": div(F.col("physical_slice"), F.col("faces")), "face": F.col("physical_slice") % F.col("faces"), "offset": at})

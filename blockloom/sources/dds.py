@@ -5,10 +5,14 @@ Every malformed file gives a row with ``error`` and null fields, never a failed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.blocks import decode_surface
+from ..functions.blocks import decode_many
+from ..functions.formats import dxgi_rows
 
 # The container's magic word, header sizes, and the word that announces the second header.
 MAGIC, HEADER, PIXEL_FORMAT, DX10 = 0x20534444, 124, 32, 0x30315844
@@ -21,6 +25,10 @@ WORDS = ("size", "flags", "height", "width", "pitch_or_linear", "depth", "mips",
 WORDS10 = ("dxgi", "dimension", "misc", "array_size", "alpha_mode")
 
 
+# What the second header's numbers may be.
+DIMENSIONS, ALPHA_MODES, FORCE_UINT = (0, 1, 2, 3, 4), (0, 1, 2, 3, 4), 0xFFFFFFFF
+
+
 def word(data: Column | str, at: int) -> Column:
     """The unsigned little-endian 32-bit word at a byte offset; null beyond the end."""
     data = F.col(data) if isinstance(data, str) else data
@@ -46,7 +54,8 @@ def parse(files: DataFrame, content: str = "content", known_formats: list[int] |
     out = files.withColumns(raw)
     dx10 = F.coalesce(_has(F.col("w_pf_flags"), P_FOURCC) & (F.col("w_pf_fourcc") == DX10), F.lit(False))
     out = out.withColumn("dx10", dx10).withColumns({n: F.when(F.col("dx10"), word(content, 128 + 4 * i)) for i, n in enumerate(WORDS10)})
-    bad10 = F.col("dx10") & (F.col("dxgi").isin(known_formats) == False if known_formats else F.lit(False))  # noqa: E712
+    known = known_formats or [*(r["code"] for r in dxgi_rows()), FORCE_UINT]
+    bad10 = F.col("dx10") & ~(F.col("dxgi").isin(known) & F.col("dimension").isin(*DIMENSIONS) & F.col("alpha_mode").isin(*ALPHA_MODES))
     error = (
         F.when(F.col("magic").isNull(), "Io").when(F.col("magic") != MAGIC, "BadMagic").when(F.col("w_size") != HEADER, "InvalidField")
         .when(F.col("w_pf_size") != PIXEL_FORMAT, "InvalidField").when(F.col("w_reserved_last").isNull(), "Io").when(F.col("dx10") & F.col("alpha_mode").isNull(), "Io").when(bad10, "InvalidField")
@@ -92,12 +101,38 @@ def retag(content: Column | str, code: Column | int) -> Column:
 
 
 def decode(surfaces: DataFrame) -> DataFrame:
-    """rgba and error for each row (content, width, height, payload): one slice of an image."""
-
-    def run(batches):
-        for pdf in batches:
-            done = [decode_surface(c, p, int(w), int(h)) for c, p, w, h in zip(pdf["content"], pdf["payload"], pdf["width"], pdf["height"], strict=True)]
-            yield pdf.drop(columns="payload").assign(rgba=[d[0] for d in done], decode_error=[d[1] for d in done])
+    """rgba and decode_error for each row (content, width, height, payload): one slice of an image; a batch's slices of one class go together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, rgba, errors = batch.column("content").to_pylist(), [None] * batch.num_rows, ["UnsupportedFormat"] * batch.num_rows
+            sizes = list(zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True))
+            by: dict[str, list[int]] = {}
+            for i, name in enumerate(names):
+                by.setdefault(name or "", []).append(i)
+            for name, own in by.items():
+                held = [batch.column("payload")[i].as_buffer() for i in own]
+                for i, (px, error) in zip(own, decode_many(name, [(b if b is not None else b"", *(s or 0 for s in sizes[i])) for b, i in zip(held, own, strict=True)]), strict=True):
+                    rgba[i], errors[i] = px, error
+            rest = [c for c in batch.schema.names if c != "payload"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(rgba, pa.binary()), pa.array(errors, pa.string())], [*rest, "rgba", "decode_error"])
 
     rest = surfaces.drop("payload")
-    return surfaces.select(*rest.columns, "payload").mapInPandas(run, rest._jdf.schema().toDDL() + ", rgba binary, decode_error string")
+    return surfaces.select(*rest.columns, "payload").mapInArrow(run, rest._jdf.schema().toDDL() + ", rgba binary, decode_error string")
+
+
+def write_dds(files: DataFrame, path: str) -> None:
+    """A file for each row (name, content) in a folder that all executors share; a name written again by a retried task has the same bytes."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column("name")], ["name"])
+
+    files.select("name", "content").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()

@@ -40,7 +40,7 @@ def test_mips_and_errors():
     odd = np.arange(12, dtype=np.uint8).reshape(1, 3, 4)
     assert encoders.halve(odd).tolist() == [[[2, 3, 4, 5]]]
     assert encoders.encode_surface("bc1", b"", 4, 4) == (None, "TruncatedData")
-    assert encoders.encode_surface("bc4s", bytes(64), 4, 4) == (None, "UnsupportedFormat")
+    assert encoders.encode_surface("bc6h", bytes(64), 4, 4) == (None, "UnsupportedFormat")
     assert encoders.encode_surface("bc1", b"", 0, 4) == (None, "InvalidField")
     data, _ = encoders.encode_surface("bc1", gradient(16, 16).tobytes(), 16, 16, mips=5)
     assert len(data) == 128 + 32 + 8 + 8 + 8
