@@ -13,7 +13,9 @@ the target; a document's is the mean.
     P(w | v) = (c(v, w) + PRIOR P(w)) / (c(v) + PRIOR)
 
 A pair that occurs once in the corpus is kept in no table: what a document's pair finds no entry
-for occurs in this document alone.
+for occurs in this document alone.  The pairs that occur most (``HOT`` at most) are looked up where
+the text is read; each other one of a document is first taken to be its own, and corrected by the
+join with the table, so that frequent pairs are never shuffled.
 """
 
 from __future__ import annotations
@@ -33,16 +35,18 @@ from .textkernel import FOLDED_VALUES, Buffer, pieces, span_hashes
 MOST = 1 << 18
 #: Weight of the unigram model in a bigram's estimate, in counts.
 PRIOR = 4.0
+#: Most frequent pairs that are sent to the tasks, at most; all others are joined.
+HOT = 1 << 18
 _START = np.uint64(0x53A9E1F04C7D2B68)
 
 
 @dataclass
 class Tokens:
-    """The words of some texts as hashes, the word before each (a start mark for the first), and each text's number of words."""
+    """The words of some texts as hashes with their text's number, where each text's words begin, and each text's number of words."""
 
     doc: np.ndarray
     word: np.ndarray
-    before: np.ndarray
+    first: np.ndarray
     count: np.ndarray
 
 
@@ -51,25 +55,32 @@ def read_tokens(texts: pa.Array) -> Tokens:
     starts, ends = buffer.words()
     words = span_hashes(buffer.prefix(FOLDED_VALUES), starts, ends)
     cut = buffer.split(starts)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[cut[:-1][np.diff(cut) > 0]] = _START
-    return Tokens(np.repeat(np.arange(buffer.n), np.diff(cut)), words, before, np.diff(cut))
+    count = np.diff(cut)
+    return Tokens(np.repeat(np.arange(buffer.n), count), words, cut[:-1][count > 0], count)
 
 
-def _target(part: pa.RecordBatch, tokens: Tokens) -> np.ndarray:
-    return np.asarray(part.column("target").cast(pa.int8())).astype(np.int64)[tokens.doc]
+def _target(part: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(part.column("target").cast(pa.int8())).astype(np.int64)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start in sorted ``keys``, and their lengths."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return first, np.diff(np.append(first, len(keys)))
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each word occurs, and is the word before another, in all documents and in the target."""
     for part in pieces(batches):
         tokens = read_tokens(part.column("text"))
-        good = _target(part, tokens)
-        words, at = np.unique(np.concatenate([tokens.word, tokens.before]), return_inverse=True)
-        n, k = len(tokens.word), len(words)
-        held = [np.bincount(x, w, minlength=k).astype(np.int64) for x, w in ((at[:n], None), (at[n:], None), (at[:n], good), (at[n:], good))]
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(x) for x in held)], ["word", "n", "ctx", "target_n", "target_ctx"])
+        good = _target(part)
+        words, at = np.unique(tokens.word, return_inverse=True)
+        k, last = len(words), tokens.first + tokens.count[tokens.count > 0] - 1
+        n, own = np.bincount(at, minlength=k), np.bincount(at, good[tokens.doc], k).astype(np.int64)
+        ctx, own_ctx = n - np.bincount(at[last], minlength=k), own - np.bincount(at[last], good[tokens.doc[last]], k).astype(np.int64)
+        start = 0, len(last), 0, int(good[tokens.doc[last]].sum())
+        held = [np.append(x, s) for x, s in zip((n, ctx, own, own_ctx), start, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(words, _START).view(np.int64)), *(pa.array(x) for x in held)], ["word", "n", "ctx", "target_n", "target_ctx"])
 
 
 @dataclass
@@ -85,43 +96,74 @@ class Vocabulary:
         return len(self.hashes) + 2
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(words), np.int64)
-        if len(self.hashes):
-            at = np.searchsorted(self.hashes, words)
-            at[at == len(self.hashes)] = 0
-            out = np.where(self.hashes[at] == words, at + 1, 0)
-        out[words == _START] = self.size - 1
-        return out
+        if not len(self.hashes):
+            return np.zeros(len(words), np.int64)
+        at = np.searchsorted(self.hashes, words)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == words, at + 1, 0)
 
     def pairs(self, tokens: Tokens) -> np.ndarray:
         """One number for each token and the one before it."""
-        return self.numbers(tokens.before) * self.size + self.numbers(tokens.word)
+        word = self.numbers(tokens.word)
+        before = np.roll(word, 1)
+        before[tokens.first] = self.size - 1
+        return before * self.size + word
 
     def scale(self) -> float:
         """What background counts are multiplied by."""
         return max(1, int(self.counts[2].sum())) / max(1, int(self.counts[0].sum()))
 
-    def table(self) -> list[tuple]:
-        """(id, prior and context weights of both models) of each number."""
+    def weights(self) -> np.ndarray:
+        """Prior and context weight of the target model, and of the background model, by number."""
         out = []
         for n, ctx, scale in ((self.counts[2], self.counts[3], 1.0), (self.counts[0], self.counts[1], self.scale())):
             out += [PRIOR * (n * scale + 1) / (n.sum() * scale + self.size - 1), ctx * scale + PRIOR]
-        return [(i, *x) for i, x in enumerate(zip(*(x.tolist() for x in out), strict=True))]
+        return np.stack(out)
+
+
+@dataclass
+class Model:
+    """What the tasks know: the vocabulary, its weights, and the most frequent pairs in order with their counts (target, all)."""
+
+    words: Vocabulary
+    weights: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray
+
+    def losses(self, pair: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Loss of each pair under target and background, and whether it is a frequent one; others count once, in a document that is ``target`` or not."""
+        v, w = np.divmod(pair, self.words.size)
+        hot, own, everywhere = np.zeros(len(pair), bool), target.astype(float), np.ones(len(pair))
+        if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            hot = self.pairs[at] == pair
+            own, everywhere = np.where(hot, self.counts[0, at], own), np.where(hot, self.counts[1, at], everywhere)
+        found = [np.log(self.weights[i + 1, v]) - np.log(n + self.weights[i, w]) for i, n in ((0, own), (2, everywhere * self.words.scale()))]
+        return found[0], found[1], hot
+
+
+def _least(sizes: DataFrame, most: int) -> int | None:
+    """The lowest grade down to which all grades together have ``most`` rows at most."""
+    held, least = 0, None
+    for r in sorted(sizes.groupBy("grade").agg(F.count("*").alias("k")).collect(), reverse=True):
+        if (held := held + r.k) > most:
+            break
+        least = r.grade
+    return least
+
+
+def _grade(count: str) -> Column:
+    """The class of a count, four to a doubling."""
+    return F.floor(F.log2(count) * 4)
 
 
 def vocabulary(rows: DataFrame, scratch: Scratch, most: int = MOST) -> Vocabulary:
     """The words of the highest counts, as many classes of counts (four to a doubling) as stay within ``most`` words."""
     words = scratch.save(rows.mapInArrow(_words, "word long, n long, ctx long, target_n long, target_ctx long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "ctx", "target_n", "target_ctx")]), "words")
     start = int(_START.astype(np.int64))
-    grade = F.floor(F.log2("n") * 4)
     real = F.col("word") != start
-    sizes = words.where(real & (F.col("n") > 0)).groupBy(grade.alias("grade")).agg(F.count("*").alias("k")).collect()
-    held, least = 0, None
-    for r in sorted(sizes, reverse=True):
-        if (held := held + r.k) > most:
-            break
-        least = r.grade
-    kept = words.where(~real if least is None else ~real | (grade >= least)).orderBy("word").toArrow()
+    least = _least(words.where(real & (F.col("n") > 0)).select(_grade("n").alias("grade")), most)
+    kept = words.where(~real if least is None else ~real | (_grade("n") >= least)).orderBy("word").toArrow()
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "ctx", "target_n", "target_ctx")]).first()
     hashes = kept.column("word").to_numpy().view(np.uint64)
     counts = np.stack([kept.column(c).to_numpy() for c in ("n", "ctx", "target_n", "target_ctx")])
@@ -136,37 +178,43 @@ def _counts(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             tokens = read_tokens(part.column("text"))
-            pairs, at = np.unique(held.value.pairs(tokens), return_inverse=True)
-            good = np.bincount(at, _target(part, tokens), minlength=len(pairs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(at, minlength=len(pairs))), pa.array(good)], ["pair", "n", "target_n"])
+            keys = np.sort(held.value.pairs(tokens) * 2 + _target(part)[tokens.doc])
+            first, n = _runs(keys >> 1)
+            good = np.add.reduceat(keys & 1, first) if len(first) else first
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first] >> 1), pa.array(n), pa.array(good)], ["pair", "n", "target_n"])
 
     return run
 
 
-def _pairs(held):
-    """The distinct pairs of each document with their numbers."""
+def _read(model):
+    """A row for each document (its pair is negative) with its tokens and its losses as far as known here, and its distinct pairs that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.value
         for part in pieces(batches):
             tokens = read_tokens(part.column("text"))
-            pair = held.value.pairs(tokens)
-            by = np.lexsort((pair, tokens.doc))
-            doc, pair = tokens.doc[by], pair[by]
-            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))[: len(doc)])
-            own = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays([part.column("row").take(own), part.column("target").take(own), pa.array(pair[first]), pa.array(np.diff(np.append(first, len(doc))), pa.int32())], ["row", "target", "pair", "n"])
+            good, rows, docs = _target(part), part.column("row").to_numpy(), len(tokens.count)
+            square = known.words.size**2
+            keys = np.sort(tokens.doc * square + known.words.pairs(tokens))
+            first, n = _runs(keys)
+            doc, pair = np.divmod(keys[first], square)
+            target, background, hot = known.losses(pair, good[doc])
+            cold = np.flatnonzero(~hot)
+            sums = [np.bincount(doc, x * n, docs) for x in (target, background)]
+            base = pa.StructArray.from_arrays([part.column("doc_id"), *(pa.array(x) for x in sums)], names=["doc_id", "target", "all"])
+            row = rows * 2 + good
+            columns = [
+                pa.array(np.concatenate([row, row[doc[cold]]])),
+                pa.array(np.concatenate([-1 - rows, pair[cold]])),
+                pa.array(np.concatenate([tokens.count, n[cold]])),
+                pa.concat_arrays([base, pa.nulls(len(cold), base.type)]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "pair", "n", "base"])
 
     return run
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in pieces(batches):
-        buffer = Buffer(part.column("text"))
-        count = np.diff(buffer.split(buffer.words()[0]))
-        yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(count, pa.int64())], ["row", "doc_id", "n_tokens"])
-
-
-def score(documents: DataFrame, target: DataFrame, most: int = MOST) -> DataFrame:
+def score(documents: DataFrame, target: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of each row of ``documents`` (doc_id, text).
 
     ``target`` lists the doc_ids of the target corpus.  Losses are nats a token; a text without
@@ -185,17 +233,30 @@ def score(documents: DataFrame, target: DataFrame, most: int = MOST) -> DataFram
     shared = spark.sparkContext.broadcast(held)
     known = rows.select("text", "target").mapInArrow(_counts(shared), "pair long, n long, target_n long").groupBy("pair").agg(F.sum("n").alias("all_n"), F.sum("target_n").alias("target_n")).where("all_n > 1")
     known = scratch.save(known, "pairs")
-    table = spark.createDataFrame(held.table(), "id long, target_prior double, target_context double, all_prior double, all_context double")
+    least = _least(known.select(_grade("all_n").alias("grade")), hot)
+    frequent = F.lit(False) if least is None else _grade("all_n") >= least
+    often = known.where(frequent).orderBy("pair").toArrow()
+    weights = held.weights()
+    model = spark.sparkContext.broadcast(Model(held, weights, often.column("pair").to_numpy(), np.stack([often.column(c).to_numpy() for c in ("target_n", "all_n")])))
     # MOST + 2 rows at most
-    prior = F.broadcast(table.select(F.col("id").alias("w"), "target_prior", "all_prior"))
-    context = F.broadcast(table.select(F.col("id").alias("v"), "target_context", "all_context"))
-    own = rows.select("row", "text", "target").mapInArrow(_pairs(shared), "row long, target boolean, pair long, n int")
-    found = own.join(known.hint("merge"), "pair", "left").withColumn("v", F.expr(f"pair div {held.size}")).withColumn("w", F.expr(f"pair % {held.size}")).join(prior, "w").join(context, "v")
-    loss = lambda count, model: F.sum(-F.log((count + F.col(f"{model}_prior")) / F.col(f"{model}_context")) * F.col("n"))
-    seen = F.coalesce("target_n", F.col("target").cast("long"))
-    sums = found.groupBy("row").agg(F.sum("n").alias("k"), loss(seen, "target").alias("target_sum"), loss(F.coalesce("all_n", F.lit(1)) * held.scale(), "all").alias("all_sum"))
+    prior = F.broadcast(spark.createDataFrame([(i, *x) for i, x in enumerate(weights[[0, 2]].T.tolist())], "w long, target_prior double, all_prior double"))
+    rare = known.where(~frequent).repartition("pair").withColumn("w", F.expr(f"pair % {held.size}")).join(prior, "w")
+    # what a pair's loss is less than that of a pair of this document alone
+    less = lambda one, count, model: F.log((one + F.col(f"{model}_prior")) / (count + F.col(f"{model}_prior")))
+    count = F.col("target_n")
+    rare = rare.select("pair", less(F.lit(0), count, "target").alias("elsewhere"), less(F.lit(1), count, "target").alias("inside"), less(F.lit(held.scale()), F.col("all_n") * held.scale(), "all").alias("everywhere"))
+    own = rows.mapInArrow(_read(model), "row long, pair long, n long, base struct<doc_id: long, target: double, all: double>")
+    found = own.join(rare.hint("merge"), "pair", "left").where("base is not null or everywhere is not null")
+    inside = F.when(F.col("row") % 2 == 1, F.col("inside")).otherwise(F.col("elsewhere"))
+    is_document = F.col("base").isNotNull()
+    sums = found.groupBy("row").agg(
+        F.max("base.doc_id").alias("doc_id"),
+        F.sum(F.when(is_document, F.col("n")).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when(is_document, F.col("base.target")).otherwise(inside * F.col("n"))).alias("target_sum"),
+        F.sum(F.when(is_document, F.col("base.all")).otherwise(F.col("everywhere") * F.col("n"))).alias("all_sum"),
+    )
     sums = scratch.save(sums, "sums")
-    scratch.drop("words", "pairs")
-    mean: dict[str, Column] = {c: F.col(f"{c}_sum") / F.col("k") for c in ("target", "all")}
-    sized = rows.select("row", "doc_id", "text").mapInArrow(_sizes, "row long, doc_id long, n_tokens long")
-    return sized.join(sums.hint("merge"), "row", "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["all"].alias("background_loss"), (mean["all"] - mean["target"]).alias("score"))
+    scratch.drop("rows", "words", "pairs")
+    size = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
+    mean: dict[str, Column] = {c: F.col(f"{c}_sum") / size for c in ("target", "all")}
+    return sums.select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["all"].alias("background_loss"), (mean["all"] - mean["target"]).alias("score"))

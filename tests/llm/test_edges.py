@@ -76,7 +76,9 @@ def plain_scores(texts, good, prior=4.0, size=None):
     return losses, total
 
 
-def test_op2_losses(spark):
+@pytest.mark.parametrize("hot", [0, 6, 1 << 18])
+def test_op2_losses(spark, hot):
+    """The same losses whether frequent pairs are looked up, or some or all of them joined."""
     from blockloom.llm.op2_lm_scoring import score
 
     rng = random.Random(8)
@@ -86,7 +88,7 @@ def test_op2_losses(spark):
     good = list(range(0, 40, 3))
     losses, total = plain_scores(texts, good)
     assert total == pytest.approx([1.0, 1.0])
-    got = sorted(score(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect())
+    got = sorted(score(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"), hot=hot).collect())
     for r, (t, b) in zip(got, losses, strict=True):
         assert (r.target_loss is None) == (t is None)
         if t is not None:
