@@ -5,15 +5,23 @@ from __future__ import annotations
 import numpy as np
 
 
-def _names(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted order of rows of key columns, and each row's rank from 1 (equal rows share it)."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        held = k[order]
-        new[1:] |= held[1:] != held[:-1]
+def _joined(columns: list[np.ndarray], bounds: list[int]) -> np.ndarray:
+    """One integer for each row that keeps the rows' order; a column's values are below its bound."""
+    key, bound = columns[0], bounds[0]
+    for column, most in zip(columns[1:], bounds[1:], strict=True):
+        if bound * most >= 1 << 63:
+            held, key = np.unique(key, return_inverse=True)
+            bound = len(held)
+        key, bound = key * most + column, bound * most
+    return key
+
+
+def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and each one's rank from 1 (equal keys share it)."""
+    order = np.argsort(key)
+    held = key[order]
     rank = np.empty(len(order), np.int64)
-    rank[order] = 1 + np.cumsum(new)
+    rank[order] = np.cumsum(np.append(True, held[1:] != held[:-1]))
     return order, rank
 
 
@@ -32,7 +40,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     one = np.arange(1, n + (n % 3 == 1), 3)
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    order, name = _names([t[sample], t[sample + 1], t[sample + 2]])
+    bound = int(t.max()) + 1
+    order, name = _names(_joined([t[sample], t[sample + 1], t[sample + 2]], [bound] * 3))
     if name[order[-1]] < len(sample):
         order = suffix_array(name)
         name = np.empty(len(sample), np.int64)
@@ -41,14 +50,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[sample] = name
     sampled = sample[order]
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort([rank[zero + 1], t[zero]])]
     wide = len(sample) + 2
-    pair = lambda i: t[i] * wide + rank[i + 1]
+    pair = lambda i: _joined([t[i], rank[i + 1]], [bound, wide])
+    zero = zero[np.argsort(pair(zero))]
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
-    less = np.searchsorted(pair(ones), pair(zero))
-    # a pair of first values and the rank behind them, the values named to fit one integer
-    _, both = _names([np.concatenate([t[twos], t[zero]]), np.concatenate([t[twos + 1], t[zero + 1]])])
-    key = both * wide + np.concatenate([rank[twos + 2], rank[zero + 2]])
+    # keys are made together, as they may be ranks
+    key = pair(np.concatenate([ones, zero]))
+    less = np.searchsorted(key[: len(ones)], key[len(ones) :])
+    both = np.concatenate([twos, zero])
+    key = _joined([t[both], t[both + 1], rank[both + 2]], [bound, bound, wide])
     less = less + np.searchsorted(key[: len(twos)], key[len(twos) :])
     out = np.empty(len(sampled) + len(zero), np.int64)
     place = less + np.arange(len(zero))
