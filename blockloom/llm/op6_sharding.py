@@ -24,7 +24,7 @@ from .scratch import Scratch
 SHARDS = 40
 #: Bits of each dimension.
 BITS = 6
-#: Values of a dimension that its cells' bounds are set by at most (those of the smallest hash, with their numbers of rows).
+#: Values of a dimension that are counted one by one; if there are more, steps of the order with this share of all rows are.
 VALUES = 4096
 
 
@@ -70,9 +70,27 @@ def bounds(counts: list[tuple[str, int]], cells: int) -> list[str]:
     return cuts
 
 
-def _bounds(rows: DataFrame, name: str) -> list[str]:
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values with the rows of those before them in their partition."""
+    part, held = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        total = held + np.cumsum(np.asarray(batch.column("n")))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(total), part, np.int64)), pa.array(total - np.asarray(batch.column("n")))], ["v", "n", "part", "before"])
+        held = int(total[-1]) if len(total) else held
+
+
+def _bounds(rows: DataFrame, name: str, scratch: Scratch) -> list[str]:
+    """``bounds`` by all rows; neighbours in the order are counted together where the values are very many."""
     values = rows.groupBy(F.coalesce(name, F.lit("")).alias("v")).agg(F.count("*").alias("n"))
-    return bounds([(r.v, r.n) for r in values.orderBy(F.xxhash64("v"), "v").limit(VALUES).collect()], 1 << BITS)
+    few = values.limit(VALUES + 1).collect()
+    if len(few) > VALUES:
+        ordered = scratch.save(values.repartitionByRange("v").sortWithinPartitions("v").mapInArrow(_running, "v string, n long, part long, before long"), f"values_{name}")
+        sizes = ordered.groupBy("part").agg(F.sum("n").alias("size"))
+        # one row for each partition of the sort, whatever the table's size
+        offsets = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("first"), F.sum("size").over(Window.partitionBy()).alias("total"))
+        step = F.expr(f"cast((first + before) * cast({VALUES} as decimal(38, 0)) div total as long)")
+        few = ordered.join(F.broadcast(offsets), "part").groupBy(step.alias("step")).agg(F.min("v").alias("v"), F.sum("n").alias("n")).collect()
+    return bounds([(r.v, r.n) for r in few], 1 << BITS)
 
 
 def _curve(cuts: dict[str, list[str]]):
@@ -107,7 +125,7 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     grid = rows.groupBy("text_hash", "size").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
     steps = F.least(F.lit((1 << BITS) - 1), F.floor(3 * F.log2(F.col("size") / 16))).cast("long")
-    cuts = {name: _bounds(rows, name) for name in ("lang", "source")}
+    cuts = {name: _bounds(rows, name, scratch) for name in ("lang", "source")}
     cells = grid.select("text_hash", "size", steps.alias("q_size"), *cuts).mapInArrow(_curve(cuts), "text_hash long, size long, curve long")
     placed = rows.drop("lang", "source").join(cells, ["text_hash", "size"])
     ordered = placed.repartitionByRange("curve", "text_hash", "doc_id").sortWithinPartitions("curve", "text_hash", "doc_id")

@@ -208,3 +208,19 @@ def test_op8_line_labels():
     lines = read_lines(buffer, buffer.prefix(), buffer.words()[0])
     got = line_labels(lines.features, _lines_of(buffer), np.array([1, 0]))
     assert got.tolist() == [1, 1, 0, 0, 0, 1, 0, 0]
+
+
+def test_op6_bounds_count_all_rows(spark):
+    """Cells of a dimension with very many values hold nearly equal numbers of rows, frequent values included."""
+    from bisect import bisect_right
+    from collections import Counter
+
+    from blockloom.llm.op6_sharding import _bounds
+    from blockloom.llm.scratch import Scratch
+
+    names = [f"s{i % 10000:05}" for i in range(10000)] + [f"s{i:05}" for i in range(0, 10000, 500)] * 40
+    rows = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
+    cuts = _bounds(rows, "source", Scratch(spark, "bounds"))
+    cells = Counter(bisect_right(cuts, n) for n in names)
+    assert len(cuts) == 63 and len(cells) == 64
+    assert max(cells.values()) <= len(names) / 64 + 42 and sum(cells.values()) == len(names)
