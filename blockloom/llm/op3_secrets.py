@@ -2,9 +2,9 @@
 
 A candidate is a maximal run of key characters, 16 or longer, that has a digit or capitals inside.
 The network reads its characters with the context on both sides.  It is fitted here, in numpy, on
-labelled findings: candidates of the corpus (a bounded sample; those in a base finding are
+labelled findings: all distinct candidates of the corpus that are known (those in a base finding are
 secrets, plain numbers and words outside of them are not, and what is neither is left out) and
-generated ones.  Three held-out parts calibrate its scores (Platt), set the threshold, the most
+generated ones; many are fitted on in parts, whose networks are averaged after each round.  Three held-out parts calibrate its scores (Platt), set the threshold, the most
 precise one whose recall is at least ``RECALL``, and tell recall and precision as they then are.
 """
 
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textkernel import Buffer, pieces
 
 #: Fixed patterns of the base findings.
@@ -27,8 +28,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "model")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: Corpus candidates that the network is fitted on at most (those of the smallest hash).
+#: Corpus candidates that one task fits the network on, about; all are fitted on, more of them in parts.
 SAMPLE = 4000
+ROUNDS, RATE = 14, 0.004
 RECALL = 0.98
 BEFORE, INSIDE, AFTER = 24, 48, 24
 WIDTH = BEFORE + INSIDE + AFTER
@@ -115,6 +117,8 @@ class Network:
     #: on findings that nothing was set by
     recall: float = float("nan")
     precision: float = float("nan")
+    #: findings that it was made from
+    findings: int = 0
 
     def _hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = self.embed[x]
@@ -129,48 +133,72 @@ class Network:
         return np.concatenate(held)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(x) + self.scale[1], -40, 40)))
+        return self.likely(self.logits(x))
 
+    def likely(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * z + self.scale[1], -40, 40)))
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = 14, rate: float = 0.004) -> Network:
+
+def _start(seed: int) -> tuple[list[np.ndarray], np.random.Generator]:
+    """Parameters, and their zero moments, before the first step."""
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, 0.3, (256, _EMBED)), rng.normal(0, 0.15, (_EMBED * _SPAN, _FILTERS)), np.zeros(_FILTERS), np.append(rng.normal(0, 0.2, _FILTERS), 0)]
     p = [a.astype(np.float32) for a in p]
-    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    return p + [np.zeros_like(a) for _ in range(2) for a in p], rng
+
+
+def _balance(y: np.ndarray, secrets: int, others: int) -> np.ndarray:
+    """Weights by which both labels count alike."""
+    return np.where(y == 1, 0.5 / max(1, secrets), 0.5 / max(1, others)) * (secrets + others)
+
+
+def _round(state: list[np.ndarray], step: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> list[np.ndarray]:
+    """Parameters and moments after one pass over the findings in their order, ``step`` steps having been made."""
+    p, m, v = state[:4], state[4:8], state[8:]
+    for a in range(0, len(x), 64):
+        own, t = x[a : a + 64], y[a : a + 64]
+        net = Network(*p)
+        cols, hidden = net._hidden(own)
+        best = hidden.argmax(axis=1)
+        top = np.take_along_axis(hidden, best[:, None], 1)[:, 0]
+        live = np.maximum(top, 0)
+        z = live @ p[3][:-1] + p[3][-1]
+        dz = ((1 / (1 + np.exp(-z)) - t) * weight[a : a + 64] / len(own)).astype(np.float32)
+        dtop = dz[:, None] * p[3][:-1] * (top > 0)
+        rows = cols[np.arange(len(own))[:, None], best]
+        dfilters = np.einsum("nfc,nf->cf", rows, dtop)
+        dcols = dtop[:, :, None] * p[1].T[None]
+        dembed = np.zeros_like(p[0])
+        where = best[:, :, None] + np.arange(_SPAN)
+        np.add.at(dembed, own[np.arange(len(own))[:, None, None], where], dcols.reshape(len(own), _FILTERS, _EMBED, _SPAN).transpose(0, 1, 3, 2))
+        step += 1
+        for k, g in enumerate((dembed, dfilters, dtop.sum(0), np.append(live.T @ dz, dz.sum()))):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return [*p, *m, *v]
+
+
+def _platt(z: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """The scale and shift by which the scores z of n findings each tell their labels t."""
+    a, b, n = 1.0, 0.0, n / max(1, n.sum())
+    size = max(1.0, float((np.abs(z) * n).sum()))
+    for _ in range(400):
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+        a, b = a - 0.05 * float(((q - t) * z * n).sum() / size), b - 0.05 * float(((q - t) * n).sum())
+    return a, b
+
+
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = ROUNDS, rate: float = RATE) -> Network:
+    state, rng = _start(seed)
     order = rng.permutation(len(x))
     eighth = len(x) // 8
     scaled, held, told, own = np.split(order, [eighth, 2 * eighth, 3 * eighth])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    step = 0
-    for _ in range(rounds):
-        for a in range(0, len(own), 64):
-            i = own[a : a + 64]
-            net = Network(*p)
-            cols, hidden = net._hidden(x[i])
-            best = hidden.argmax(axis=1)
-            top = np.take_along_axis(hidden, best[:, None], 1)[:, 0]
-            live = np.maximum(top, 0)
-            z = live @ p[3][:-1] + p[3][-1]
-            dz = ((1 / (1 + np.exp(-z)) - y[i]) * weight[i] / len(i)).astype(np.float32)
-            dtop = dz[:, None] * p[3][:-1] * (top > 0)
-            rows = cols[np.arange(len(i))[:, None], best]
-            dfilters = np.einsum("nfc,nf->cf", rows, dtop)
-            dcols = dtop[:, :, None] * p[1].T[None]
-            dembed = np.zeros_like(p[0])
-            where = best[:, :, None] + np.arange(_SPAN)
-            np.add.at(dembed, x[i][np.arange(len(i))[:, None, None], where], dcols.reshape(len(i), _FILTERS, _EMBED, _SPAN).transpose(0, 1, 3, 2))
-            step += 1
-            for k, g in enumerate((dembed, dfilters, dtop.sum(0), np.append(live.T @ dz, dz.sum()))):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    net = Network(*p)
-    z, t = net.logits(x[scaled]), y[scaled]
-    a, b = 1.0, 0.0
-    for _ in range(400):
-        q = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        a, b = a - 0.05 * float(((q - t) * z).mean() / max(1.0, float(np.abs(z).mean()))), b - 0.05 * float((q - t).mean())
-    net.scale = (a, b)
+    weight = _balance(y, int((y == 1).sum()), int((y == 0).sum()))
+    for i in range(rounds):
+        state = _round(state, i * -(-len(own) // 64), x[own], y[own], weight[own], rate)
+    net = Network(*state[:4], findings=len(x))
+    net.scale = _platt(net.logits(x[scaled]), y[scaled], np.ones(len(scaled)))
     # of the thresholds whose recall is high enough the most precise one, which is the highest
     good = np.sort(net.probabilities(x[held][y[held] == 1]))
     net.threshold = float(good[int((1 - RECALL) * len(good))]) if len(good) else 0.5
@@ -180,6 +208,62 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, rounds: int = 14, rate: flo
     return net
 
 
+def _read_windows(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.array([np.frombuffer(w, np.uint8) for w in batch.column("window").to_pylist()], np.uint8).reshape(-1, WIDTH)
+
+
+def _own_round(state: list[np.ndarray], step: int, secrets: int, others: int, rate: float):
+    """A round over one part's findings, from the state that all parts start with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = _read_windows(table), np.asarray(table.column("secret").to_numpy(zero_copy_only=False), np.int64)
+        order = np.lexsort(x.T)[np.random.default_rng(step).permutation(len(x))]
+        after = _round(list(state), step, x[order], y[order], _balance(y[order], secrets, others), rate)
+        return pa.table({"n": [len(x)], "state": pa.array([np.concatenate([a.ravel() for a in after]).astype(np.float32).tobytes()], pa.binary())})
+
+    return run
+
+
+def _scored(net: Network):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = net.logits(_read_windows(batch)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("role"), batch.column("secret"), pa.array(z)], ["role", "secret", "z"])
+
+    return run
+
+
+def fit_parts(findings: DataFrame, parts: int, scratch: Scratch, seed: int = 7, rounds: int = ROUNDS, rate: float = RATE) -> Network:
+    """``fit`` of findings (window, secret) too many for one task: each round goes over all parts side by side, and their means start the next."""
+    role = F.pmod(F.xxhash64("window", F.lit(seed)), F.lit(8))
+    table = scratch.save(findings.select("window", "secret", role.alias("role"), F.pmod(F.xxhash64("window", F.lit(-seed)), F.lit(parts)).alias("part")), "findings")
+    count = table.agg(F.count_if("secret").alias("secrets"), F.count_if(~F.col("secret")).alias("others"), F.count_if(F.col("role") > 2).alias("own")).first()
+    own = table.where("role > 2")
+    state, _ = _start(seed)
+    shapes = [a.shape for a in state]
+    for i in range(rounds):
+        step = i * -(-count.own // (64 * parts))
+        done = own.groupBy("part").applyInArrow(_own_round(state, step, count.secrets, count.others, rate), "n long, state binary").collect()
+        mean = sum(np.frombuffer(r.state, np.float32).astype(np.float64) * r.n for r in done) / sum(r.n for r in done)
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+        state = [a.reshape(s).astype(np.float32) for a, s in zip(np.split(mean, cuts), shapes, strict=True)]
+    net = Network(*state[:4], findings=count.secrets + count.others)
+    scored = scratch.save(table.where("role <= 2").mapInArrow(_scored(net), "role long, secret boolean, z double"), "scored")
+    # scores of the first part by hundredths, so that what the driver reads does not grow
+    z, t, n = (np.array(c, float) for c in zip(*[(r.z, r.secret, r.n) for r in scored.where("role = 0").groupBy(F.round(F.least(F.greatest("z", F.lit(-100.0)), F.lit(100.0)), 2).alias("z"), "secret").agg(F.count("*").alias("n")).orderBy("z", "secret").collect()], strict=True))
+    net.scale = _platt(z, t, n)
+    good = scored.where("role = 1 and secret")
+    last = good.orderBy("z").offset(int((1 - RECALL) * good.count())).limit(1).collect()
+    if last:
+        net.threshold = float(net.likely(np.array([last[0].z], np.float32))[0])
+    told = scored.where("role = 2").groupBy("secret", (F.col("z") >= (last[0].z if last else -net.scale[1] / net.scale[0])).alias("sure")).count().collect()
+    number = lambda keep: sum(r["count"] for r in told if keep(r))
+    hits = number(lambda r: r.sure and r.secret)
+    net.recall, net.precision = hits / max(1, number(lambda r: r.secret)), hits / max(1, number(lambda r: r.sure))
+    scratch.drop("findings", "scored")
+    return net
+
+
 def generated(seed: int = 11, n: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Labelled findings made by rule: random keys of usual alphabets, and numbers, words, names and addresses."""
     rng = np.random.default_rng(seed)
@@ -232,13 +316,23 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Network:
+    """The network fitted on all known candidates of the corpus and the generated findings; beyond ``sample`` candidates by parts of about that many."""
+    scratch = Scratch(documents.sparkSession, "secrets")
     rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_labelled, "window binary, secret boolean")
-    known = rows.groupBy("window", "secret").agg(F.count("*").alias("n")).orderBy(F.xxhash64("window"), "window", "secret").limit(sample).collect()
+    known = scratch.save(rows.distinct(), "known")
     x, y = generated()
-    if known:
-        x = np.concatenate([x, np.stack([np.frombuffer(r.window, np.uint8) for r in known])])
-        y = np.concatenate([y, np.array([int(r.secret) for r in known])])
-    return fit(x, y)
+    total = known.count()
+    if total > sample:
+        made = documents.sparkSession.createDataFrame([(bytearray(w), bool(t)) for w, t in zip(x, y, strict=True)], known.schema)
+        net = fit_parts(known.union(made), -(-total // sample), scratch)
+    else:
+        held = known.orderBy(F.xxhash64("window"), "window", "secret").collect()
+        if held:
+            x = np.concatenate([x, np.stack([np.frombuffer(r.window, np.uint8) for r in held])])
+            y = np.concatenate([y, np.array([int(r.secret) for r in held])])
+        net = fit(x, y)
+    scratch.drop("known")
+    return net
 
 
 def _scan(net: Network):
