@@ -224,3 +224,21 @@ def test_op6_bounds_count_all_rows(spark):
     cells = Counter(bisect_right(cuts, n) for n in names)
     assert len(cuts) == 63 and len(cells) == 64
     assert max(cells.values()) <= len(names) / 64 + 42 and sum(cells.values()) == len(names)
+
+
+def test_op9_every_pair_is_linked(spark):
+    """A document's passage is found in each of the documents that have it, in one block of documents or many."""
+    from random import Random
+
+    from blockloom.llm.op9_passages import passages
+
+    rng = Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, more = words(60), words(60)
+    texts = [words(40) + shared + words(30) + (more if i % 2 else []) + words(20) for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for block in (1 << 23, 700):
+        got = {r.doc_id: r for r in passages(docs, block=block).collect()}
+        assert all(got[i].n_links == 11 for i in range(12))
+        assert {p.source_id for p in got[11].passages if p.end_word - p.first_word >= 60} == set(range(11))
+        assert [len(got[i].passages) for i in range(12)] == list(range(12))
