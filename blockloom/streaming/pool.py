@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "run_id long, frame long, requests long, uploaded_bytes long, uploads long, evicted long, resident_bytes long, resident_pct double"
@@ -54,13 +57,41 @@ def _frames(pool: Pool, run: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def replay(requests: DataFrame, upload_budget: int, pool_budget: int) -> DataFrame:
-    """Frame records of each run of ``requests`` (run_id, frame, tex, mip, bytes)."""
+def _replay(upload_budget: int, pool_budget: int):
+    """Runs one after the other, from rows in the order of run and frame; a frame's rows are held until the next begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, now, held = Pool(upload_budget, pool_budget), None, []
+        names, kinds = zip(*(c.split() for c in SCHEMA.split(", ")), strict=True)
+
+        def done() -> pa.RecordBatch:
+            row = (*now, *pool.step(now[1], [w for part in held for w in part]))
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.float64() if k == "double" else pa.int64()) for v, k in zip(row, kinds, strict=True)], list(names))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frames(Pool(upload_budget, pool_budget), int(key[0]), rows)
+        for batch in batches:
+            runs, frames = (batch.column(n).to_numpy() for n in ("run_id", "frame"))
+            cuts = np.flatnonzero((np.diff(runs) != 0) | (np.diff(frames) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                key = int(runs[a]), int(frames[a])
+                if key != now:
+                    if now is not None:
+                        yield done()
+                        if key[0] != now[0]:
+                            pool = Pool(upload_budget, pool_budget)
+                    now, held = key, []
+                held.append(list(zip(*(batch.column(n).slice(a, b - a).to_pylist() for n in ("tex", "mip", "bytes")), strict=True)))
+        if now is not None:
+            yield done()
 
-    return requests.groupBy("run_id").applyInPandas(run, SCHEMA)
+    return run
+
+
+def replay(requests: DataFrame, upload_budget: int, pool_budget: int) -> DataFrame:
+    """Frame records of each run of ``requests`` (run_id, frame, tex, mip, bytes); a task holds the pool and one frame of a run, not all its requests."""
+    rows = requests.select(*[F.col(c).cast("long").alias(c) for c in ("run_id", "frame", "tex", "mip", "bytes")])
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "frame").mapInArrow(_replay(upload_budget, pool_budget), SCHEMA)
 
 
 _STATE = "tex array<long>, mip array<long>, size array<long>, seen_tex array<long>, seen_at array<long>"
