@@ -59,3 +59,15 @@ def test_bc6h():
     assert hdr.to_half(np.array([-5.0, np.nan, 1e30, np.inf, 1.0, 2.0**-24, 2.0**-26])).tolist() == [0, 0, 0x7BFF, 0x7BFF, 0x3C00, 1, 0]
     every = np.arange(0x7C00)
     assert (hdr.to_half(blocks.half_to_float(every)) == every).all()
+
+
+def test_images_are_encoded_together():
+    """Many images in one call give the bytes of each by itself, flat ones too."""
+    import numpy as np
+
+    from blockloom.functions import encoders
+
+    rng = np.random.default_rng(3)
+    images = np.concatenate([rng.integers(0, 256, (5, 6, 10, 4)), np.full((1, 6, 10, 4), 90), rng.integers(70, 73, (2, 6, 10, 4))]).astype(np.uint8)
+    for name in [*encoders.ENCODERS, "rgba8", "bgra8"]:
+        assert encoders.encode_many(name, images) == [encoders.encode_blocks(name, x) for x in images], name
