@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .textkernel import FOLDED_VALUES, Buffer, pieces, shingles, span_hashes
+from .textkernel import FOLDED_VALUES, Buffer, pieces, shingles, span_hashes, tidy
 
 SKETCH = 64
 #: Chance that two similar sets keep less of their sketches in common than ``overlap`` says.
@@ -69,7 +69,7 @@ def _sets(words: int, k: int, whole: bool = False):
             held |= {"full": pa.array(full, pa.binary())} if whole else {"sketch": sketch}
             yield pa.RecordBatch.from_arrays(list(held.values()), list(held))
 
-    return run
+    return tidy(run)
 
 
 def _confirm(percent: int):
@@ -86,7 +86,7 @@ def _confirm(percent: int):
                 same.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 @dataclass
@@ -123,6 +123,7 @@ class _Corpus:
         return likely.join(held("u"), "u").join(held("v"), "v").mapInArrow(_confirm(self.percent), "u long, v long")
 
 
+@tidy
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rep, n, full in zip(batch.column("rep"), batch.column("n"), batch.column("full"), strict=True):
@@ -145,6 +146,7 @@ def _exact_lists(sets: DataFrame, percent: int) -> DataFrame:
     return entered.select("rep", "n", "unique", F.explode(F.slice("common", F.lit(1), F.col("room"))).alias("x")).select("rep", "n", "unique", F.col("x.value").alias("value"))
 
 
+@tidy
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p, rep, n, a, b in zip(*(batch.column(c) for c in ("u", "rep", "n", "full_u", "full_v")), strict=True):

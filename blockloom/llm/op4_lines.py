@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textkernel import Buffer, gram_hashes, mix, pieces, span_hashes
+from .textkernel import Buffer, gram_hashes, mix, pieces, span_hashes, tidy
 
 #: Words that a linking line and a removed block have at least.
 WORDS = 5
@@ -30,6 +30,7 @@ WORDS = 5
 RARE = 64
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
         buffer = Buffer(part.column("text"))
@@ -69,7 +70,7 @@ def _seeds(least: int):
                 news.append(new)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, t)])) for x, t in ((reps, np.int64), (keys, np.int64), (pairs, np.int64), (news, np.int8))], ["rep", "line", "pair", "new"])
 
-    return run
+    return tidy(run)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -137,9 +138,10 @@ def _align(least: int):
                     ends.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32())], ["rep", "first", "end"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches (row, text, copy, blocks) with what is left of the text, and what went."""
     for batch in batches:

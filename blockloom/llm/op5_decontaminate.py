@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import FOLDED_VALUES, Buffer, document_shingles, pieces, span_hashes
+from .textkernel import FOLDED_VALUES, Buffer, document_shingles, pieces, span_hashes, tidy
 
 RADIUS = 15
 BLOCKS = 4
@@ -214,7 +214,7 @@ def _scan(items: list[Item], prints: np.ndarray, n: int, least: float):
             hits = [a + b for a, b in zip(part.column("hits").to_pylist(), hits, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(hits, _KIND)], ["doc_id", "text", "hits"])
 
-    return run
+    return tidy(run)
 
 
 def _clean(items: list[Item], prints: np.ndarray, n: int, least: float):
@@ -223,7 +223,7 @@ def _clean(items: list[Item], prints: np.ndarray, n: int, least: float):
         for part in pieces(batches, limit=1 << 20):
             yield part.filter(pa.array([not x for x in _found(part.column("text").cast(pa.string()), indexes, items, n, least)], pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 HITS = "array<struct<item_id: bigint, similarity: double, first_word: bigint, end_word: bigint>>"

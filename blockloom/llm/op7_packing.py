@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textkernel import Buffer, pieces
+from .textkernel import Buffer, pieces, tidy
 from .tokenize import WordTokenizer
 
 LENGTH = 2048
@@ -93,7 +93,7 @@ def _pack(path: str, length: int, most: int, end: int, with_ids: bool):
         if out:
             yield _table(out)
 
-    return run
+    return tidy(run)
 
 
 def _merge(length: int, most: int, round_: int, last: bool):

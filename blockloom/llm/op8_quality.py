@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import BYTE_VALUES, IS_SPACE, Buffer, gram_hashes, mix, pieces, span_hashes
+from .textkernel import BYTE_VALUES, IS_SPACE, Buffer, gram_hashes, mix, pieces, span_hashes, tidy
 
 #: Labelled documents that the field is fitted on at most (those of the smallest hash of doc_id).
 SAMPLE = 2000
@@ -176,6 +176,7 @@ def fit(features: np.ndarray, counts: np.ndarray, gold: np.ndarray, rounds: int
     return Field(theta[:k].copy(), theta[k:].reshape(2, 2).copy())
 
 
+@tidy
 def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
         buffer = Buffer(part.column("text"))
@@ -252,7 +253,7 @@ def _label(field: Field, share: float):
             columns = judge(part, field, share)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return run
+    return tidy(run)
 
 
 def _stay(field: Field, share: float):
@@ -260,7 +261,7 @@ def _stay(field: Field, share: float):
         for part in pieces(batches):
             yield part.filter(judge(part, field, share)["kept"])
 
-    return run
+    return tidy(run)
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, line_labels string"
